@@ -33,12 +33,15 @@ def counter_number(value) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
-def stamp(value, pattern: str) -> Column:
-    """Text to zone-less timestamp, NULL where it does not parse.
+def stamp(value) -> Column:
+    """Twelve or fourteen digits (minute or second) to a zone-less timestamp, NULL where they are no time.
 
-    Needs a UTC session, as ``try_to_timestamp`` yields a zoned value.
+    Cast as written, so the session time zone plays no part.
     """
-    return F.try_to_timestamp(_col(value), F.lit(pattern)).cast("timestamp_ntz")
+    digits = _col(value)
+    parts = F.regexp_replace(
+        F.rpad(digits, 14, "0"), r"^(\d{4})(\d\d)(\d\d)(\d\d)(\d\d)(\d\d)$", "$1-$2-$3 $4:$5:$6")
+    return F.when(digits.rlike(r"^\d{12}(\d\d)?$"), parts.try_cast("timestamp_ntz"))
 
 
 def _key_parts(family: Column, fields) -> Column:

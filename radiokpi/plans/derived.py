@@ -105,6 +105,8 @@ def definitions(d: Dialect) -> dict[str, str]:
           l_quantity as C373300001, l_quantity / 2 as C373300002, cast(l_linenumber as double) as C373300003,
           l_extendedprice + {zero} as C399999999
         from pm_base"""
+    q["archive_prefix"] = f"""
+        select distinct dataset_family as prefix_family, {_PREFIX} as prefix from pm_base"""
     if not d.spark:
         names = ", ".join(f"'{c}'" for c in COUNTERS)
         q["pm_sample"] = f"""

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from radiokpi.functions import blank_to_null, counter_number, stamp, strip_space
 from radiokpi.schemas import FACT_COLUMNS, KEPT_DIMENSIONS, KNOWN_COLUMNS, TIME_COLUMN
-from radiokpi.sources.manifest import archive_fields
+from radiokpi.sources.manifest import with_archive_fields
 
 EXPANDED = "source_file string, csv_name string, member_no int, row_no bigint, row map<string,string>, problem string"
 _BATCH_CELLS = 500_000
@@ -37,7 +37,7 @@ def _members(name: str, content: bytes) -> Iterator[tuple[str, io.TextIOWrapper]
                     with archive.open(member) as raw:
                         yield member.filename, io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
     elif lower.endswith((".tar.gz", ".tgz")):
-        with tarfile.open(fileobj=data, mode="r|gz") as archive:
+        with tarfile.open(fileobj=data, mode="r:gz") as archive:
             for member in archive:
                 if member.isfile() and member.name.lower().endswith(".csv"):
                     raw = archive.extractfile(member)
@@ -138,7 +138,7 @@ def _row_problem() -> Column:
 
 def _collect_time() -> Column:
     text = strip_space(F.col("row")[TIME_COLUMN])
-    return F.when(text.rlike(r"^\d{14}$"), stamp(text, "yyyyMMddHHmmss"))
+    return F.when(F.length(text) == 14, stamp(text))
 
 
 def _counters() -> Column:
@@ -174,8 +174,7 @@ def good_rows(parsed: DataFrame) -> DataFrame:
 
 def unpivot_counters(rows: DataFrame) -> DataFrame:
     """One fact row per counter cell. A blank or unreadable value is NULL and still a row."""
-    named = rows.withColumns({n: c for n, c in archive_fields("source_file").items()
-                              if n in ("dataset_family", "interval_start", "revision")})
+    named = with_archive_fields(rows, "source_file")
     cells = named.select("*", F.explode("counters").alias("counter_id", "_text"))
     return cells.withColumn("counter_value", counter_number("_text")).select(*FACT_COLUMNS)
 

@@ -14,33 +14,32 @@ from radiokpi.schemas import ARCHIVE_PREFIXES, FAMILIES, INTERVAL_MINUTES, REVIS
 NAME = r"(?i)^(UMEID(?:_ITBBU)?(?:_ITBBUPLAT|_LTEFDD)?_PM_COMMON_ZTE_)(\d{8})_(\d{4})(?:_R(\d+))?\.(tar\.gz|zip)$"
 
 
-def archive_fields(name) -> dict[str, Column]:
-    """Family, interval, revision and extension read from an archive file name; NULL where it is none."""
-    name = F.col(name) if isinstance(name, str) else name
-    base = F.regexp_extract(name, r"([^/]+)/*$", 1)
-    prefix = F.upper(F.regexp_extract(base, NAME, 1))
-    family = F
-    for text, value in ARCHIVE_PREFIXES.items():
-        family = family.when(prefix == text, value)
-    interval = stamp(F.concat(F.regexp_extract(base, NAME, 2), F.regexp_extract(base, NAME, 3)), "yyyyMMddHHmm")
-    known = family.otherwise(F.lit(None)).isNotNull() & interval.isNotNull()
-    revision = F.regexp_extract(base, NAME, 4)
-    return {
-        "dataset_family": F.when(known, family.otherwise(F.lit(None))),
-        "filename": base,
-        "interval_start": F.when(known, interval),
-        "revision": F.when(known, F.when(revision == "", 0).otherwise(revision.try_cast("int"))),
-        "extension": F.when(known, F.lower(F.regexp_extract(base, NAME, 5))),
-    }
+def with_archive_fields(frame: DataFrame, name: str = "path") -> DataFrame:
+    """Add filename, dataset_family, interval_start, revision and extension read from an archive name.
 
+    All but filename are NULL where the name is none, or its eight digits are no date.
+    The name is matched once and the steps are separate projections, so no step
+    repeats the work of an earlier one.
+    """
+    families = F.create_map(*[F.lit(x) for pair in ARCHIVE_PREFIXES.items() for x in pair])
+    parts, file = F.col("_parts"), F.regexp_extract(name, r"([^/]+)/*$", 1)
+    split = frame.withColumn("filename", file).withColumn(
+        "_parts", F.split(F.regexp_replace("filename", NAME, "$1|$2$3|$4|$5"), r"\|"))
+    read = split.select(
+        *frame.columns, "filename", F.try_element_at(families, F.upper(F.get(parts, F.lit(0)))).alias("_family"),
+        stamp(F.get(parts, F.lit(1))).alias("_interval"),
+        F.coalesce(F.nullif(F.get(parts, F.lit(2)), F.lit("")).try_cast("int"), F.lit(0)).alias("_revision"),
+        F.lower(F.get(parts, F.lit(3))).alias("_extension"))
+    known = F.col("_family").isNotNull() & F.col("_interval").isNotNull()
+    return read.select(
+        *frame.columns, "filename",
+        *[F.when(known, F.col(c)).alias(n) for c, n in (
+            ("_family", "dataset_family"), ("_interval", "interval_start"), ("_revision", "revision"), ("_extension", "extension"))])
 
-def archive_manifest(listing: DataFrame) -> DataFrame:
-    """Listing (column path, others kept) with the parsed name.
 
-    Names of no known family drop out, as do eight digits that are no date.
-    """
-    parsed = listing.select(*listing.columns, *[c.alias(n) for n, c in archive_fields("path").items()])
-    return parsed.where("dataset_family is not null")
+def archive_manifest(listing: DataFrame) -> DataFrame:
+    """Listing (column path, others kept) with the parsed name. Names of no known family drop out."""
+    return with_archive_fields(listing).where("dataset_family is not null")
 
 
 def filter_time_range(frame: DataFrame, start: datetime | None = None, end: datetime | None = None,

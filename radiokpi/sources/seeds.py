@@ -123,7 +123,7 @@ def load_vendor_indicators(raw: DataFrame, *, file_name: str) -> DataFrame:
         "verification_status": status,
         "source": F.coalesce(_field(raw, "source"), F.lit(file_name)),
         "lineage_expression": lineage,
-        "lineage_type": F.coalesce(_field(raw, "lineage_type"), F.when(parts <= 1, "direct").otherwise("composed")),
+        "lineage_type": F.coalesce(_field(raw, "lineage_type"), F.when(parts <= 1, "direct").when(parts > 1, "composed")),
         "raw_counter_dependencies": dependencies,
     }
     return _finish(raw, columns, [bad_status], {
