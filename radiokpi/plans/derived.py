@@ -329,9 +329,22 @@ def with_parts(select: str, parts: dict[str, str]) -> str:
     return f"with {', '.join(chosen)} {select}" if chosen else select
 
 
-def _given(text: str, directory: str) -> str:
+def _given(spark: SparkSession, text: str, directory: str) -> str:
+    """``text`` reading the given tables; one with fewer files than cores is spread over the cores first.
+
+    A single file of one row group is read by one task, and what is derived from it
+    is many times larger. A table of many files is read as it is.
+    """
+    cores = spark.sparkContext.defaultParallelism
+
     def source(match):
-        return f"{match[1]} parquet.`{directory}/{match[2]}.parquet`"
+        path = f"{directory}/{match[2]}.parquet"
+        if match[2] not in ("lineitem", "orders"):
+            return f"{match[1]} parquet.`{path}`"
+        if (path, cores) not in _few_files:
+            _few_files[path, cores] = len(spark.read.parquet(path).inputFiles()) < cores
+        hint = f"/*+ repartition({cores}) */ " if _few_files[path, cores] else ""
+        return f"{match[1]} (select {hint}* from parquet.`{path}`)"
     return re.sub(rf"\b(from|join) ({'|'.join(GIVEN)})\b", source, text)
 
 
@@ -340,6 +353,7 @@ _SPARK = definitions(Dialect(spark=True))
 _KEPT = ("entity_identity", "topo_site", "topo_entity_map", "ani_entity", "counter_reference", "counter_dictionary",
          "kpi_definition", "kpi_counter_mapping", "kpi_formula", "kpi_formula_input", "topo_enrichment")
 _cache: dict[tuple[str, str, str], DataFrame] = {}
+_few_files: dict[tuple[str, int], bool] = {}
 
 
 class DerivedTables(Tables):
@@ -375,4 +389,4 @@ class DerivedTables(Tables):
             return self._spark.read.parquet(f"{self._directory}/{name}.parquet")
         if name not in _SPARK:
             raise KeyError(name)
-        return self._spark.sql(_given(with_parts(f"select * from {name}", _SPARK), self._directory))
+        return self._spark.sql(_given(self._spark, with_parts(f"select * from {name}", _SPARK), self._directory))

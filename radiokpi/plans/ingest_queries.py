@@ -24,6 +24,13 @@ def _folder(t) -> str:
     return f"{shared_folder(t.pm_base.sparkSession)}/radiokpi-{uuid.uuid4().hex}"
 
 
+def _staged(t, frame: DataFrame) -> DataFrame:
+    """The frame written once and read back, as the ingest job stages its records."""
+    folder = _folder(t)
+    frame.write.parquet(folder)
+    return t.pm_base.sparkSession.read.parquet(folder)
+
+
 # --- archives -------------------------------------------------------------------------------
 
 _LINES = f"""(
@@ -45,7 +52,7 @@ _FACTS = f"""(
 
 
 def _parsed(t) -> DataFrame:
-    return ar.parse_pm_rows(ar.expand_archives(archives(t)))
+    return _staged(t, ar.parse_pm_rows(ar.expand_archives(archives(t))))
 
 
 def _marked(t) -> tuple[DataFrame, DataFrame]:
@@ -65,8 +72,8 @@ _DUPES = f"""
 
 def _summary(t) -> DataFrame:
     packed, done = _marked(t)
-    marked = ar.skip_duplicate_files(packed, done)
-    parsed = ar.parse_pm_rows(ar.expand_archives(marked.where("duplicate_of is null")))
+    marked = _staged(t, ar.skip_duplicate_files(packed, done))
+    parsed = _staged(t, ar.parse_pm_rows(ar.expand_archives(marked.where("duplicate_of is null"))))
     return ar.ingest_summary(marked, parsed).drop("file_hash")
 
 
@@ -306,7 +313,7 @@ QUERIES = [
     Query("expand_archives", lambda t: ar.expand_archives(archives(t)).groupBy("source_file", "csv_name").agg(
         F.max("member_no").cast("bigint").alias("member_no"), F.max("row_no").alias("rows"), F.max(F.size("row")).cast("bigint").alias("columns"),
         F.count("problem").alias("problems")), f"""
-        select source_file, csv_name, member_no, if(member_no = 1, n, 0) as rows, if(member_no = 1, 12::bigint, null) as columns, 0::bigint as problems
+        select source_file, csv_name, member_no, if(member_no = 1, n, 0) as rows, if(member_no = 1, 12::bigint, 0) as columns, 0::bigint as problems
         from {_FILES}, (values ('data/pm_a.csv', 1::bigint), ('data/PM_B.CSV', 2::bigint)) as v(csv_name, member_no)"""),
     Query("parse_pm_rows", lambda t: ar.good_rows(_parsed(t)).select(
         "source_file", "csv_name", "collect_time", "ani", "sbnid", "enbid", "enodebid", "cellid", "meid", "systemmode",

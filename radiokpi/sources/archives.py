@@ -20,7 +20,7 @@ from radiokpi.schemas import FACT_COLUMNS, KEPT_DIMENSIONS, KNOWN_COLUMNS, TIME_
 from radiokpi.sources.manifest import with_archive_fields
 
 EXPANDED = "source_file string, csv_name string, member_no int, row_no bigint, row map<string,string>, problem string"
-_BATCH_CELLS = 500_000
+_BATCH_CELLS, _BATCH_ROWS = 500_000, 20_000
 _ARROW = pa.schema([
     ("source_file", pa.string()), ("csv_name", pa.string()), ("member_no", pa.int32()), ("row_no", pa.int64()),
     ("row", pa.map_(pa.string(), pa.string())), ("problem", pa.string())])
@@ -46,47 +46,50 @@ def _members(name: str, content: bytes) -> Iterator[tuple[str, io.TextIOWrapper]
         raise ValueError(f"Unsupported archive format: {name}")
 
 
-def _batch(source: str, member: str | None, member_no: int, first_row: int, keys: list, picks: list, records: list,
-           problem: str | None = None) -> pa.RecordBatch:
-    """Records as one Arrow batch; without records a single marker row."""
-    n = max(len(records), 1)
-    width = len(keys)
-    if records:
-        values = [r[i] if i < len(r) else None for r in records for i in picks]
-        offsets = pa.array(range(0, n * width + 1, width) if width else [0] * (n + 1), pa.int32())
-        rows = pa.MapArray.from_arrays(offsets, pa.array(keys * n, pa.string()), pa.array(values, pa.string()))
-        numbers = range(first_row, first_row + n)
-    else:
-        rows, numbers = pa.nulls(1, _ARROW.field("row").type), [0]
-    return pa.RecordBatch.from_arrays([
-        pa.array([source] * n), pa.array([member] * n, pa.string()), pa.array([member_no] * n, pa.int32()),
-        pa.array(numbers, pa.int64()), rows, pa.array([problem] * n, pa.string())], schema=_ARROW)
+class _Rows:
+    """Columns of the rows waiting to be sent; records of many small archives share a batch."""
+
+    def __init__(self) -> None:
+        self.head: list[tuple] = []
+        self.offsets, self.keys, self.values = [0], [], []
+
+    def add(self, source: str, member: str | None, member_no: int, row_no: int, keys=(), values=(), problem=None) -> None:
+        self.head.append((source, member, member_no, row_no, problem))
+        self.keys += keys
+        self.values += values
+        self.offsets.append(len(self.keys))
+
+    @property
+    def full(self) -> bool:
+        return len(self.keys) >= _BATCH_CELLS or len(self.head) >= _BATCH_ROWS
+
+    def take(self) -> pa.RecordBatch:
+        source, member, member_no, row_no, problem = zip(*self.head)
+        rows = pa.MapArray.from_arrays(
+            pa.array(self.offsets, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
+        batch = pa.RecordBatch.from_arrays([
+            pa.array(source, pa.string()), pa.array(member, pa.string()), pa.array(member_no, pa.int32()),
+            pa.array(row_no, pa.int64()), rows, pa.array(problem, pa.string())], schema=_ARROW)
+        self.__init__()
+        return batch
 
 
-def _unpack(source: str, content: bytes) -> Iterator[pa.RecordBatch]:
-    member_no, row_no = 0, 0
-    member = None
+def _unpack(source: str, content: bytes, rows: _Rows) -> Iterator[pa.RecordBatch]:
+    member, member_no = None, 0
     try:
         for member_no, (member, text) in enumerate(_members(source, content), start=1):
-            row_no = 0
-            yield _batch(source, member, member_no, 0, [], [], [])
+            rows.add(source, member, member_no, 0)
             reader = csv.reader(text)
-            header = next(filter(None, reader), [])
             # Names are compared trimmed and upper-cased; of equal ones the last column counts.
-            place = {h.strip().upper(): i for i, h in enumerate(header) if h}
+            place = {h.strip().upper(): i for i, h in enumerate(next(reader, [])) if h}
             keys, picks = list(place), list(place.values())
-            records: list = []
-            for record in filter(None, reader):
-                records.append(record)
-                if len(records) * max(len(keys), 1) >= _BATCH_CELLS:
-                    yield _batch(source, member, member_no, row_no + 1, keys, picks, records)
-                    row_no += len(records)
-                    records = []
-            if records:
-                yield _batch(source, member, member_no, row_no + 1, keys, picks, records)
-                row_no += len(records)
+            for row_no, record in enumerate(filter(None, reader), start=1):
+                width = len(record)
+                rows.add(source, member, member_no, row_no, keys, [record[i] if i < width else None for i in picks])
+                if rows.full:
+                    yield rows.take()
     except Exception as error:  # an unreadable archive fails as a file, not as a job
-        yield _batch(source, member, member_no + 1, 0, [], [], [], problem=str(error) or type(error).__name__)
+        rows.add(source, member, member_no + 1, 0, problem=str(error) or type(error).__name__)
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
@@ -96,9 +99,12 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     set, the point where the archive could not be read.
     """
     def expand(batches):
+        rows = _Rows()
         for batch in batches:
             for source, content in zip(batch.column(0), batch.column(1)):
-                yield from _unpack(source.as_py(), content.as_py())
+                yield from _unpack(source.as_py(), content.as_py(), rows)
+        if rows.head:
+            yield rows.take()
 
     return archives.select("source_file", "content").mapInArrow(expand, EXPANDED)
 

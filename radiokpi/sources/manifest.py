@@ -18,23 +18,29 @@ def with_archive_fields(frame: DataFrame, name: str = "path") -> DataFrame:
     """Add filename, dataset_family, interval_start, revision and extension read from an archive name.
 
     All but filename are NULL where the name is none, or its eight digits are no date.
-    The name is matched once and the steps are separate projections, so no step
-    repeats the work of an earlier one.
+    Each step binds the result of the one before as a lambda argument, so a filter
+    pushed through these columns does not multiply the pattern match.
     """
     families = F.create_map(*[F.lit(x) for pair in ARCHIVE_PREFIXES.items() for x in pair])
-    parts, file = F.col("_parts"), F.regexp_extract(name, r"([^/]+)/*$", 1)
-    split = frame.withColumn("filename", file).withColumn(
-        "_parts", F.split(F.regexp_replace("filename", NAME, "$1|$2$3|$4|$5"), r"\|"))
-    read = split.select(
-        *frame.columns, "filename", F.try_element_at(families, F.upper(F.get(parts, F.lit(0)))).alias("_family"),
-        stamp(F.get(parts, F.lit(1))).alias("_interval"),
-        F.coalesce(F.nullif(F.get(parts, F.lit(2)), F.lit("")).try_cast("int"), F.lit(0)).alias("_revision"),
-        F.lower(F.get(parts, F.lit(3))).alias("_extension"))
-    known = F.col("_family").isNotNull() & F.col("_interval").isNotNull()
-    return read.select(
-        *frame.columns, "filename",
-        *[F.when(known, F.col(c)).alias(n) for c, n in (
-            ("_family", "dataset_family"), ("_interval", "interval_start"), ("_revision", "revision"), ("_extension", "extension"))])
+
+    def bind(value: Column, build) -> Column:
+        return F.get(F.transform(F.array(value), build), F.lit(0))
+
+    def fields(parts: Column) -> Column:
+        return F.struct(
+            F.try_element_at(families, F.upper(F.get(parts, F.lit(0)))).alias("dataset_family"),
+            stamp(F.get(parts, F.lit(1))).alias("interval_start"),
+            F.coalesce(F.nullif(F.get(parts, F.lit(2)), F.lit("")).try_cast("int"), F.lit(0)).alias("revision"),
+            F.lower(F.get(parts, F.lit(3))).alias("extension"))
+
+    def known(read: Column) -> Column:
+        return F.when(read["dataset_family"].isNotNull() & read["interval_start"].isNotNull(), read)
+
+    file = F.regexp_extract(name, r"([^/]+)/*$", 1)
+    parts = F.split(F.regexp_replace(file, NAME, "$1|$2$3|$4|$5"), r"\|")
+    read = bind(bind(parts, fields), known)
+    return frame.select(*frame.columns, file.alias("filename"), read.alias("_archive")).select(
+        *frame.columns, "filename", "_archive.dataset_family", "_archive.interval_start", "_archive.revision", "_archive.extension")
 
 
 def archive_manifest(listing: DataFrame) -> DataFrame:
