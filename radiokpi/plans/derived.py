@@ -329,23 +329,16 @@ def with_parts(select: str, parts: dict[str, str]) -> str:
     return f"with {', '.join(chosen)} {select}" if chosen else select
 
 
-def _given(spark: SparkSession, text: str, directory: str) -> str:
-    """``text`` reading the given tables; one with fewer files than cores is spread over the cores first.
+def _spread(spark: SparkSession, path: str) -> DataFrame:
+    """A given table, spread over the cores where it has fewer files than there are cores.
 
     A single file of one row group is read by one task, and what is derived from it
     is many times larger. A table of many files is read as it is.
     """
-    cores = spark.sparkContext.defaultParallelism
-
-    def source(match):
-        path = f"{directory}/{match[2]}.parquet"
-        if match[2] not in ("lineitem", "orders"):
-            return f"{match[1]} parquet.`{path}`"
-        if (path, cores) not in _few_files:
-            _few_files[path, cores] = len(spark.read.parquet(path).inputFiles()) < cores
-        hint = f"/*+ repartition({cores}) */ " if _few_files[path, cores] else ""
-        return f"{match[1]} (select {hint}* from parquet.`{path}`)"
-    return re.sub(rf"\b(from|join) ({'|'.join(GIVEN)})\b", source, text)
+    table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    if (path, cores) not in _few_files:
+        _few_files[path, cores] = len(table.inputFiles()) < cores
+    return table.repartition(cores) if _few_files[path, cores] else table
 
 
 _SPARK = definitions(Dialect(spark=True))
@@ -386,7 +379,11 @@ class DerivedTables(Tables):
         if name == "topo_enrichment":
             return topology_enrichment(self)
         if name in GIVEN:
-            return self._spark.read.parquet(f"{self._directory}/{name}.parquet")
+            path = f"{self._directory}/{name}.parquet"
+            return _spread(self._spark, path) if name in ("lineitem", "orders") else self._spark.read.parquet(path)
         if name not in _SPARK:
             raise KeyError(name)
-        return self._spark.sql(_given(self._spark, with_parts(f"select * from {name}", _SPARK), self._directory))
+        tables = "|".join([*GIVEN, *_SPARK])
+        text = re.sub(rf"\b(from|join) ({tables})\b", r"\1 {\2}", _SPARK[name])
+        used = set(re.findall(r"\{(\w+)\}", text))
+        return self._spark.sql(text, **{table: self[table] for table in used})
