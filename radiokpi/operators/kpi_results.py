@@ -180,7 +180,8 @@ def kpi_validation_entity(tables: Tables, *, family: str, dataset_family: str |
     """Per KPI the inputs seen in facts and the entity-times where every required input is present.
 
     The dictionary's own verification status is reported, not required. Facts are first
-    reduced to one row per counter, time and entity; both halves read that reduction.
+    reduced to one row per KPI input, time and entity; both halves read that reduction,
+    where the inputs present at one entity and time are just its rows.
     """
     _check(family, "entity-time")
     codes = KPI_CODES.get(family) or tuple(RRC_ALIASES)
@@ -195,8 +196,8 @@ def kpi_validation_entity(tables: Tables, *, family: str, dataset_family: str |
         specs = specs.where(F.col("dataset_family") == dataset_family)
 
     keys, key = ["kpi_code", "dataset_family"], ["dataset_family", "counter_id"]
-    seen = tables.pm_sample.join(specs.select(*key).distinct(), key, "left_semi").select(
-        *key, "collect_time", _identity_tuple().alias("entity")).distinct().join(specs, key)
+    seen = tables.pm_sample.select(*key, "collect_time", _identity_tuple().alias("entity")).join(
+        specs.select(*key, "kpi_code", "input_alias"), key).select(*keys, "input_alias", "collect_time", "entity").distinct()
 
     per_input = seen.groupBy(*keys, "input_alias").agg(
         F.count_distinct("collect_time").alias("times"), F.count_distinct("entity").alias("entities"))
@@ -205,7 +206,7 @@ def kpi_validation_entity(tables: Tables, *, family: str, dataset_family: str |
         F.min("counter_status").alias("min_counter_verification_status"),
         F.min("times").alias("min_input_collect_times"), F.min("entities").alias("min_input_entities"),
         F.count_distinct("input_alias").alias("_required"))
-    complete = seen.groupBy(*keys, "collect_time", "entity").agg(F.count_distinct("input_alias").alias("_present"))
+    complete = seen.groupBy(*keys, "collect_time", "entity").agg(F.count("*").alias("_present"))
     executed = complete.join(covered.select(*keys, "_required"), keys).where("_present = _required").groupBy(*keys).agg(
         F.count("*").alias("executed_rows"), F.count_distinct("collect_time").alias("executed_collect_times"),
         F.count_distinct("entity").alias("executed_entities"))

@@ -7,7 +7,7 @@ time is left.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from radiokpi.functions import page
 from radiokpi.functions.columns import percent_ratio
@@ -80,16 +80,26 @@ def kpi_input_coverage(tables: Tables, *, limit: int | None = None) -> DataFrame
 # --- PRB utilisation and block error rate ---------------------------------------------------
 
 def _verified_inputs(tables: Tables, family: str) -> DataFrame:
-    """Counters feeding the required inputs of the verified KPIs of one family."""
-    kpis = tables.kpi_formula.where(
-        F.col("kpi_code").isin(*KPI_CODES[family]) & (F.col("verification_status") == "VERIFIED"),
-    ).select("kpi_code", "kpi_name", F.col("unit").alias("kpi_unit"), "topology_rollup_allowed")
+    """Counters feeding the required inputs of the verified KPIs of one family.
+
+    ``alias_rank`` orders the counter aliases of a KPI. The fact aggregate takes the
+    largest rank, a number, in place of the largest alias: a text maximum would turn
+    the hash aggregate over facts into a sort.
+    """
+    kpis = _verified_kpis(tables, family).select("kpi_code")
     inputs = tables.kpi_formula_input.where("required").select(
         "kpi_code", "input_alias", "dataset_family", "counter_alias")
     counters = tables.counter_dictionary.where(
         "verification_status = 'VERIFIED' and aggregation_behavior = 'SUM' and unit = 'Number'",
     ).select("dataset_family", "counter_alias", "counter_id")
-    return kpis.join(inputs, "kpi_code").join(counters, ["dataset_family", "counter_alias"])
+    specs = kpis.join(inputs, "kpi_code").join(counters, ["dataset_family", "counter_alias"])
+    by_alias = Window.partitionBy("kpi_code", "dataset_family").orderBy("counter_alias")
+    return specs.withColumn("alias_rank", F.dense_rank().over(by_alias))
+
+
+def _verified_kpis(tables: Tables, family: str) -> DataFrame:
+    return tables.kpi_formula.where(
+        F.col("kpi_code").isin(*KPI_CODES[family]) & (F.col("verification_status") == "VERIFIED"))
 
 
 def verified_entity_time(tables: Tables, *, family: str, limit: int | None = None) -> DataFrame:
@@ -97,21 +107,31 @@ def verified_entity_time(tables: Tables, *, family: str, limit: int | None = Non
 
     ``topology_rollup_allowed`` is carried along and enforced nowhere.
     """
-    kpi = ["kpi_code", "kpi_name", "kpi_unit", "topology_rollup_allowed"]
-    facts = keyed_facts(tables).join(_verified_inputs(tables, family), ["dataset_family", "counter_id"])
+    specs = _verified_inputs(tables, family)
+    facts = keyed_facts(tables).join(
+        specs.select("dataset_family", "counter_id", "kpi_code", "input_alias", "alias_rank"), ["dataset_family", "counter_id"])
     top, bottom = F.col("input_alias") == "numerator", F.col("input_alias") == "denominator"
-    pivoted = facts.groupBy(*kpi, *ENTITY_TIME).agg(
-        F.max(F.when(top, F.col("counter_alias"))).alias("numerator_counter_alias"),
-        F.max(F.when(bottom, F.col("counter_alias"))).alias("denominator_counter_alias"),
+    pivoted = facts.groupBy("kpi_code", *ENTITY_TIME).agg(
+        F.max(F.when(top, F.col("alias_rank"))).alias("_top"), F.max(F.when(bottom, F.col("alias_rank"))).alias("_bottom"),
         F.sum(F.when(top, F.col("counter_value"))).alias("numerator_value"),
         F.sum(F.when(bottom, F.col("counter_value"))).alias("denominator_value"),
         F.count_distinct("input_alias").alias("_inputs")).where("_inputs = 2")
-    placed = with_level(with_places(pivoted, tables), tables)
+
+    def alias_of(rank: str, name: str) -> DataFrame:
+        return specs.select("kpi_code", "dataset_family", F.col("alias_rank").alias(rank),
+                            F.col("counter_alias").alias(name)).distinct()
+
+    key = ["kpi_code", "dataset_family"]
+    named = (
+        pivoted.join(_verified_kpis(tables, family).select(
+            "kpi_code", "kpi_name", "unit", "topology_rollup_allowed"), "kpi_code")
+        .join(alias_of("_top", "numerator_counter_alias"), [*key, "_top"], "left")
+        .join(alias_of("_bottom", "denominator_counter_alias"), [*key, "_bottom"], "left"))
+    placed = with_level(with_places(named, tables), tables)
     result = placed.select(
         "kpi_code", "kpi_name", *ENTITY_TIME, "entity_level", *PLACES,
         "numerator_counter_alias", "denominator_counter_alias", "numerator_value", "denominator_value",
-        percent_ratio("numerator_value", "denominator_value").alias("kpi_value"),
-        F.col("kpi_unit").alias("unit"), "topology_rollup_allowed")
+        percent_ratio("numerator_value", "denominator_value").alias("kpi_value"), "unit", "topology_rollup_allowed")
     return page(result, "-collect_time", "kpi_code", "dataset_family", "logical_entity_key", "interval_start",
                 limit=limit)
 

@@ -37,8 +37,14 @@ def entity_topology_projection(tables: Tables) -> DataFrame:
 
 
 def with_places(frame: DataFrame, tables: Tables, *extra: str) -> DataFrame:
-    """Add the place columns of the identity entities to any frame keyed by logical_entity_key."""
-    places = entity_topology_projection(tables).select("logical_entity_key", *PLACES, *extra)
+    """Add the place columns of the identity entities to any frame keyed by logical_entity_key.
+
+    Places of keys unknown to the identity table stay out. That test is a semi join, whose
+    size Spark bounds by the enrichment table, so a small one is still broadcast.
+    """
+    known = tables.entity_identity.select("logical_entity_key")
+    places = tables.topo_enrichment.select("logical_entity_key", *PLACES, *extra).join(
+        known, "logical_entity_key", "left_semi")
     return frame.join(places, "logical_entity_key", "left")
 
 
