@@ -80,7 +80,7 @@ def sync_entities(tables: Tables) -> DataFrame:
         F.min(F.struct(*[F.struct(F.col(c).isNull().alias("absent"), F.col(c).alias("value")).alias(c)
                          for c in dims])).alias("shape"))
     incoming = seen.select(
-        "logical_entity_key", "dataset_family", *[F.col(f"shape.{c}.value").alias(c) for c in dims], "entity_level")
+        "logical_entity_key", "dataset_family", *[F.col("shape")[c]["value"].alias(c) for c in dims], "entity_level")
     known = tables.entity_identity
     notes = known.select("logical_entity_key", "notes")
     refreshed = incoming.join(notes, "logical_entity_key", "left")

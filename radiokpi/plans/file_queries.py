@@ -106,8 +106,8 @@ _I = "status in ('DOWNLOADED', 'FAILED_INGEST')"
 
 def _last_downloads(t):
     """Final download result per file, as a cycle reports them."""
-    results = _transfers(t).groupBy("id").agg(F.max_by(F.struct("status", "local_staged_path", "error"), "happened_at").alias("r"))
-    return results.select("id", "r.*").join(t.file_registry.select("id", "remote_path", "remote_filename"), "id")
+    results = _transfers(t).groupBy("id").agg(F.max_by(F.struct("status", "local_staged_path", "error"), "happened_at").alias("last_result"))
+    return results.select("id", "last_result.*").join(t.file_registry.select("id", "remote_path", "remote_filename"), "id")
 
 
 def _candidates(t):
