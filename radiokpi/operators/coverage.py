@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from radiokpi.functions import first_per, logical_entity_key, page
+from radiokpi.functions import first_per, page
 from radiokpi.functions.columns import percent_of
 from radiokpi.operators.activity import counter_activity, entity_activity
 from radiokpi.operators.entities import SHAPE, keyed_facts, with_level
-from radiokpi.schemas import CELL_FAMILIES, ITBBU_CELL, SDR_CELL
+from radiokpi.schemas import CELL_FAMILIES
 from radiokpi.tables import Tables
 
 COUNTS = ("row_count", "non_null_counter_value_count")
@@ -312,17 +312,14 @@ def region_coverage(tables: Tables, *, limit: int | None = None) -> DataFrame:
 
 
 def interval_topology_coverage(tables: Tables, source_files: DataFrame) -> DataFrame:
-    """Cells per interval in the given files, split into mapped and unmapped."""
-    facts = tables.pm_sample.join(source_files.select("source_file"), "source_file", "left_semi")
-    node = {ITBBU_CELL: "enbid", SDR_CELL: "enodebid"}
-    cells = facts.where(F.col("dataset_family").isin(*node)).select(
-        "interval_start", "dataset_family", "sbnid",
-        F.when(F.col("dataset_family") == ITBBU_CELL, F.col("enbid")).alias("enbid"),
-        F.when(F.col("dataset_family") == SDR_CELL, F.col("enodebid")).alias("enodebid"),
-        "cellid").distinct()
-    keyed = cells.withColumns({"meid": F.lit(None).cast("string"), "ani": F.lit(None).cast("string")}).select(
-        "interval_start", logical_entity_key().alias("logical_entity_key"))
+    """Cells per interval in the given files, split into mapped and unmapped.
+
+    Read from the entity activity, so the file list meets one row per entity, interval and file.
+    """
+    seen = entity_activity(tables).where(F.col("dataset_family").isin(*CELL_FAMILIES)).join(
+        source_files.select("source_file"), "source_file", "left_semi")
+    cells = seen.select("interval_start", "logical_entity_key").distinct()
     status = tables.topo_enrichment.select("logical_entity_key", "mapping_status")
     mapped = F.coalesce(F.col("mapping_status") != "UNMAPPED", F.lit(False))
-    return keyed.join(status, "logical_entity_key", "left").groupBy("interval_start").agg(
+    return cells.join(status, "logical_entity_key", "left").groupBy("interval_start").agg(
         F.count_if(mapped).alias("topology_mapped_count"), F.count_if(~mapped).alias("topology_unmapped_count"))

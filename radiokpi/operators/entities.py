@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from radiokpi.functions import entity_level, first_per, logical_entity_key, page
+from radiokpi.functions import entity_level, logical_entity_key, page
 from radiokpi.tables import Tables
 
 SHAPE = ["dataset_family", "sbnid", "enbid", "enodebid", "cellid", "meid", "ani"]
@@ -93,6 +93,3 @@ def entity_identity_list(tables: Tables, *, limit: int | None = None) -> DataFra
     columns = ["logical_entity_key", "dataset_family", *SHAPE[1:], "entity_level", "notes"]
     return page(tables.entity_identity.select(*columns), "dataset_family", "logical_entity_key", limit=limit)
 
-
-def latest_per_key(frame: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return first_per(frame, keys, largest=[F.col(order)])

@@ -45,14 +45,15 @@ def collect_time_window(frame: DataFrame, start: datetime | None, end: datetime
 
     A ``collect_date`` partition column is bounded as well, so whole directories are skipped.
     """
-    bounds = [(start, F.col("collect_time").__ge__, "__ge__"), (end, F.col("collect_time").__le__, "__le__")]
-    for bound, compare, name in bounds:
-        if bound is None:
-            continue
-        moment = F.lit(bound).cast("timestamp_ntz")
-        frame = frame.where(compare(moment))
-        if "collect_date" in frame.columns:
-            frame = frame.where(getattr(F.col("collect_date"), name)(F.lit(bound.date())))
+    dated = "collect_date" in frame.columns
+    if start is not None:
+        frame = frame.where(F.col("collect_time") >= F.lit(start).cast("timestamp_ntz"))
+        if dated:
+            frame = frame.where(F.col("collect_date") >= F.lit(start.date()))
+    if end is not None:
+        frame = frame.where(F.col("collect_time") <= F.lit(end).cast("timestamp_ntz"))
+        if dated:
+            frame = frame.where(F.col("collect_date") <= F.lit(end.date()))
     return frame
 
 

@@ -55,12 +55,16 @@ def _parsed(t) -> DataFrame:
     return _staged(t, ar.parse_pm_rows(ar.expand_archives(archives(t))))
 
 
+def _copies(packed: DataFrame) -> DataFrame:
+    """Some archives once more under another name."""
+    return packed.where("source_file like 'UMEID_LTEFDD%.zip'").withColumn("source_file", F.concat(F.lit("copy_"), "source_file"))
+
+
 def _marked(t) -> tuple[DataFrame, DataFrame]:
-    """Archives, some a second time under another name and some already in the audit, with their duplicate marks."""
+    """Archives with copies, and an audit in which some of them are loaded already."""
     packed = archives(t)
-    again = packed.where("source_file like 'UMEID_LTEFDD%.zip'").withColumn("source_file", F.concat(F.lit("copy_"), "source_file"))
     done = packed.where("source_file like '%0301\\_0000\\_R%'").select("file_hash", F.lit("SUCCESS").alias("status"))
-    return packed.unionByName(again), done
+    return packed.unionByName(_copies(packed)), done
 
 
 _DUPES = f"""
@@ -259,10 +263,11 @@ _GROUPS = f"""(select group_code, unnest(max_by(struct_pack(group_name, notes),
 
 
 def _archive_stream(t, folder: str) -> DataFrame:
-    """Archives written as a table of binary values, read back as a stream in two batches of files."""
+    """Archives written as a table of binary values, the copies after the originals, read back as a stream."""
     spark = t.pm_base.sparkSession
-    packed, _ = _marked(t)
+    packed = archives(t)
     packed.write.parquet(f"{folder}/in")
+    _copies(packed).write.mode("append").parquet(f"{folder}/in")
     stored = spark.read.parquet(f"{folder}/in")
     return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
 
@@ -395,7 +400,11 @@ QUERIES = [
     # --- streams
     Query("stream_ingest", _stream_facts, f"""
         select {_CELLS} from (select {_PARSED}, counter_id, counter_value from {_FACTS})""", "counter_value"),
-    Query("stream_dedupe", _stream_statuses),
+    Query("stream_dedupe", _stream_statuses, f"""
+        select case when failed then 'FAILED' when copy then 'SKIPPED_DUPLICATE' else 'SUCCESS' end as status, count(*) as files,
+          sum(if(failed or copy, 0, n * 2))::bigint as rows_inserted
+        from (select *, false as copy from {_FILES} union all
+              select *, true from {_FILES} where source_file like 'UMEID\\_LTEFDD%.zip' escape '\\') group by all"""),
     Query("stream_interval_kpi", _stream_intervals, """
         select collect_time as interval_start, dataset_family, counter_id, count(*) as row_count, sum(counter_value) as sum_counter_value,
           max(counter_value) as max_counter_value from pm_sample

@@ -1,7 +1,8 @@
 """Counter archives to fact rows.
 
-An archive is the unit of parallelism. Only the unpacking runs in Python, streaming
-Arrow batches of bounded size; every later step is a column expression.
+An archive is the unit of parallelism of the unpacking, which runs in Python and
+streams Arrow batches of bounded size. Every later step is a column expression and,
+once the records are staged, no longer bound to archives: a large one is then split.
 """
 
 from __future__ import annotations
@@ -173,9 +174,14 @@ def failed_files(parsed: DataFrame) -> DataFrame:
         F.min(place).alias("failed_at"), F.min_by("problem", place).alias("error_message"))
 
 
-def good_rows(parsed: DataFrame) -> DataFrame:
-    rows = parsed.where("row_no > 0")
-    return rows.join(failed_files(parsed).select("source_file"), "source_file", "left_anti")
+def good_rows(parsed: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Records of files without a bad record.
+
+    ``failed`` is the result of ``failed_files`` where the caller has stored it. Spark
+    then knows how small it is and need not shuffle the records to leave them out.
+    """
+    failed = failed_files(parsed) if failed is None else failed
+    return parsed.where("row_no > 0").join(failed.select("source_file"), "source_file", "left_anti")
 
 
 def unpivot_counters(rows: DataFrame) -> DataFrame:
@@ -195,13 +201,13 @@ def unknown_columns(parsed: DataFrame) -> DataFrame:
     return names.groupBy("source_file").agg(F.array_sort(F.collect_list("name")).alias("unknown_columns"))
 
 
-def ingest_summary(archives: DataFrame, parsed: DataFrame) -> DataFrame:
+def ingest_summary(archives: DataFrame, parsed: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """One row per archive (with duplicate_of from S10).
 
     A failed file counts what came before its first bad record and inserts nothing;
     a copy of a failed file has failed as well; other duplicates count nothing.
     """
-    bad = failed_files(parsed)
+    bad = failed_files(parsed) if failed is None else failed
     seen = parsed.join(bad.select("source_file", "failed_at"), "source_file", "left")
     place = F.struct("member_no", "row_no")
     seen = seen.where(F.col("failed_at").isNull() | (place <= F.col("failed_at")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from radiokpi.schemas import FACT_COLUMNS
 from radiokpi.sources.archives import (
-    expand_archives, good_rows, ingest_summary, parse_pm_rows, skip_duplicate_files, unpivot_counters,
+    expand_archives, failed_files, good_rows, ingest_summary, parse_pm_rows, skip_duplicate_files, unpivot_counters,
 )
 
 AUDIT_SCHEMA = """
@@ -67,8 +67,11 @@ def ingest_batch(archives: DataFrame, root: str, *, load_id: int, processed_at:
     parse_pm_rows(expand_archives(fresh)).write.mode("overwrite").parquet(f"{staging}/records")
     parsed = spark.read.parquet(f"{staging}/records")
 
-    write_facts(unpivot_counters(good_rows(parsed)), f"{root}/facts", load_id=load_id)
-    summary = ingest_summary(files, parsed).select(
+    failed_files(parsed).write.mode("overwrite").parquet(f"{staging}/failed")
+    failed = spark.read.parquet(f"{staging}/failed")
+
+    write_facts(unpivot_counters(good_rows(parsed, failed)), f"{root}/facts", load_id=load_id)
+    summary = ingest_summary(files, parsed, failed).select(
         "*", F.lit(f"load-{load_id}").alias("run_id"), F.lit(trigger_type).alias("trigger_type"),
         F.lit(source_type).alias("source_type"), F.lit(processed_at).cast("timestamp_ntz").alias("processed_at"),
         F.lit("COMPLETED").alias("lifecycle_status"), F.lit("PENDING").alias("normalization_status"))
