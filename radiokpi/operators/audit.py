@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from radiokpi.functions import page
 from radiokpi.tables import Tables
 
+# Fixed value: message of a lifecycle that could not be confirmed.
 MISSING_FILE = "Legacy lifecycle backfill could not confirm final file on disk."
 
 
@@ -79,6 +80,7 @@ def reconcile_ingest_files(tables: Tables, *, limit: int | None = None) -> DataF
     joined = audits.join(counts, "source_file", "left").join(_listed(tables), "final_file_path", "left")
     path, raw = F.nullif("final_file_path", F.lit("")), F.coalesce("_raw", F.lit(0))
     status = F.col("status")
+    # Issue names.
     issues = F.array_compact(F.array(
         F.when((status == "SUCCESS") & (raw == 0), "success_without_raw_rows"),
         F.when((status == "FAILED") & (raw > 0), "failed_with_raw_rows"),

@@ -29,6 +29,7 @@ RATIO_ALIASES = {
     "dl_bler": ("dl_tb_error_blocks", "dl_tb_total_blocks"),
     "ul_bler": ("ul_tb_error_blocks", "ul_tb_total_blocks"),
 }
+# KPI families and grains.
 FAMILIES = ("prb", "bler", "rrc")
 GRAINS = ("entity-time", "site-time", "region-time")
 

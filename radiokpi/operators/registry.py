@@ -13,6 +13,7 @@ from radiokpi.schemas import CELL_FAMILIES
 from radiokpi.tables import Tables
 
 STALE_AFTER = timedelta(hours=24)
+# Age of a stale row above, number of attempts that counts as repeated failure here.
 REPEATED = 3
 QUEUE = ["id", "source_name", "remote_directory", "remote_filename", "remote_path", "dataset_family",
          "interval_start", "revision", "extension"]
@@ -166,6 +167,7 @@ def source_interval_quality(tables: Tables, *, limit: int | None = None) -> Data
     mapped = F.coalesce("topology_mapped_count", F.lit(0))
     unmapped = F.coalesce("topology_unmapped_count", F.lit(0))
     total = (mapped + unmapped).cast("decimal(20,0)")
+    # Quality words and notes.
     return intervals.join(cells, "interval_start", "left").select(
         "interval_start", "total_files", "families_present", F.size("families_present").alias("family_count"),
         "statuses_present", "max_revision", "last_seen_at", "last_scan_at", missing.alias("missing_families"),
@@ -198,6 +200,7 @@ def classify_registry(tables: Tables, *, now: datetime, rows: DataFrame | None =
     unseen = F.coalesce(F.col("last_seen_at") < latest, F.lit(False))
     no_stage = F.when(path.isNull(), "local_staged_path is missing").otherwise(
         F.concat(F.lit("staged file not found: "), path))
+    # Class names and reason texts.
     rules = [
         (failed_download & (F.coalesce("download_attempt_count", F.lit(0)) >= REPEATED),
          "repeatedly_failing_download", F.lit("download has failed at least three times")),

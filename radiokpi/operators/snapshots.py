@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from radiokpi.functions import first_per, page
 from radiokpi.tables import Tables
 
+# Issue types by the summary column that counts them.
 COUNTS = {
     "pm_missing_from_workbook_count": "PM_MISSING_FROM_WORKBOOK",
     "workbook_missing_from_pm_count": "WORKBOOK_MISSING_FROM_PM",
@@ -198,14 +199,20 @@ def reconciliation_issues(tables: Tables, *, snapshot_id: int, active_id: int |
 
 def reconciliation_summary(tables: Tables, *, snapshot_id: int, active_id: int | None) -> DataFrame:
     """One row of counts. The parser's own errors count as blocking even when no issue is found."""
-    counted = reconciliation_issues(tables, snapshot_id=snapshot_id, active_id=active_id).agg(
+    issues = reconciliation_issues(tables, snapshot_id=snapshot_id, active_id=active_id).select(
+        "issue_type", "severity", F.lit(0).alias("parser_error_count"), F.lit(0).alias("parser_warning_count"))
+    header = tables.snapshots.where(F.col("snapshot_id") == snapshot_id).select(
+        F.lit("HEADER").alias("issue_type"), F.lit(None).cast("string").alias("severity"),
+        "parser_error_count", "parser_warning_count")
+    counted = issues.unionByName(header).agg(
+        F.count_if(F.col("issue_type") == "HEADER").alias("_headers"),
         F.count_if(F.col("severity") == "ERROR").alias("_errors"),
         F.count_if(F.col("severity") == "WARNING").alias("_warnings"),
         *[F.count_if(F.col("issue_type") == issue).alias(name) for name, issue in COUNTS.items()],
-    ).withColumn("snapshot_id", F.lit(snapshot_id).cast("bigint"))
-    header = tables.snapshots.select("snapshot_id", "parser_error_count", "parser_warning_count")
-    return header.join(counted, "snapshot_id").select(
-        "snapshot_id", F.lit(active_id).cast("bigint").alias("compared_active_snapshot_id"),
+        *[F.sum(c).cast("int").alias(c) for c in ("parser_error_count", "parser_warning_count")]).where("_headers = 1")
+    return counted.select(
+        F.lit(snapshot_id).cast("bigint").alias("snapshot_id"),
+        F.lit(active_id).cast("bigint").alias("compared_active_snapshot_id"),
         (F.col("_errors") + F.col("parser_error_count")).alias("blocking_error_count"),
         (F.col("_warnings") + F.col("parser_warning_count")).alias("warning_count"), *COUNTS,
         "parser_error_count", "parser_warning_count")

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from radiokpi.operators import audit as a, registry as g
+from radiokpi.operators import audit as a, integrity as i, registry as g
 from radiokpi.plans.query import Query
 
 _NOW, _SCAN = datetime(2001, 8, 1, 12), datetime(2026, 3, 9)
@@ -128,7 +128,21 @@ def _settled(t):
 
 _ASKED = "(select o_orderkey * 2 + 1 as id from orders where o_orderkey % 2 = 1)"
 
+_DANGLING = " union all ".join(f"""
+    select '{table}.{column}' as check_name, {column}::varchar as value, count(*) as row_count from {table}
+    where {column} is not null and {column} not in (select {key} from {other}) group by all""" for table, column, other, key in i.REFERENCES)
+_REPEATED = " union all ".join([f"""
+    select '{table}({', '.join(columns)})' as check_name, concat_ws('|', {', '.join(columns)}) as value, count(*) as row_count
+    from {table} group by all having count(*) > 1""" for table, columns in i.UNIQUE] + [
+    "select 'file_audit(file_hash of SUCCESS)', file_hash, count(*) from file_audit where status = 'SUCCESS' group by all having count(*) > 1",
+    "select 'snapshots(active)', 'active', count(*) from snapshots where is_active_snapshot having count(*) > 1"])
+
+
 QUERIES = [
+    # --- integrity
+    Query("dangling_references", i.dangling_references, _DANGLING),
+    Query("repeated_keys", i.repeated_keys, _REPEATED),
+
     # --- registry
     Query("upsert_manifest", lambda t: _merged(t).select("source_name", "remote_path", "remote_size_bytes", "status", "last_seen_at",
                                                          "first_seen_at", "download_attempts", "merge_action"), f"select * from {_MERGED}"),

@@ -36,6 +36,7 @@ FACT_COLUMNS = (
     "counter_id", "counter_value",
 )
 
+# Policies and verification statuses.
 REVISION_POLICIES = ("additive", "base-only", "revisions-only", "latest-only")
 COUNTER_STATUSES = ("VERIFIED", "UNVERIFIED", "UNKNOWN")
 SEMANTIC_STATUSES = ("VERIFIED", "PROVISIONAL", "UNVERIFIED", "UNKNOWN")

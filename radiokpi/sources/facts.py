@@ -6,10 +6,12 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from radiokpi.operators.activity import counter_activity, entity_activity
 from radiokpi.schemas import FACT_COLUMNS
 from radiokpi.sources.archives import (
     expand_archives, failed_files, good_rows, ingest_summary, parse_pm_rows, skip_duplicate_files, unpivot_counters,
 )
+from radiokpi.tables import Tables
 
 AUDIT_SCHEMA = """
     source_file string, file_hash string, run_id string, trigger_type string, source_type string,
@@ -38,6 +40,15 @@ def read_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select(*FACT_COLUMNS, "collect_date")
 
 
+def store_activity(tables: Tables, root: str) -> Tables:
+    """Write both activity aggregates as tables and hand back ``Tables`` whose reports read them."""
+    stored = {"entity_activity": entity_activity(tables), "counter_activity": counter_activity(tables)}
+    for name, frame in stored.items():
+        frame.write.mode("overwrite").parquet(f"{root}/{name}")
+    spark = tables.pm_sample.sparkSession
+    return tables.updated(**{name: spark.read.parquet(f"{root}/{name}") for name in stored})
+
+
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.schema(AUDIT_SCHEMA).option("recursiveFileLookup", "true").parquet(path)

@@ -1,7 +1,8 @@
 """Seed files: cleaning and checking of the curated CSV tables.
 
 Every loader takes a DataFrame of text columns (``read_seed`` for a CSV file) and
-returns all of its rows cleaned, with ``reject_reason`` NULL where a row is valid.
+returns all of its rows cleaned, with ``reject_reason`` NULL where a row is valid
+(the reject texts are fixed values).
 ``accepted`` and ``rejected`` split them, so one bad row does not stop a load.
 """
 
@@ -95,6 +96,7 @@ def load_kpi_definitions(raw: DataFrame) -> DataFrame:
     columns |= {"verification_status": status, "topology_rollup_allowed": rollup, "notes": _field(raw, "notes"),
                 "input_alias": alias, "dataset_family": family, "counter_alias": counter, "required": required,
                 "input_notes": _field(raw, "input_notes")}
+    # Reject texts.
     checks = [
         bad_status,
         F.when(alias.isNotNull() & family.isNull(), "dataset_family is required when input_alias is provided"),

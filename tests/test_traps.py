@@ -6,7 +6,7 @@ import pytest
 
 from radiokpi.operators import audit, coverage, entities, kpi_definitions, kpi_ratio, kpi_results, kpi_semantic, registry, snapshots
 from radiokpi.schemas import ITBBU_CELL, SDR_CELL
-from radiokpi.sources.facts import AUDIT_SCHEMA
+from radiokpi.sources.facts import AUDIT_SCHEMA, store_activity
 from radiokpi.tables import Tables
 
 FACTS = ("source_file string, dataset_family string, interval_start timestamp_ntz, revision int, csv_name string, collect_time timestamp_ntz, "
@@ -113,10 +113,9 @@ def test_null_family_and_unknown(spark):
     assert sorted((r.dataset_family or "", r.row_count) for r in gaps) == [("", 1), ("UNKNOWN", 1)]
 
 
-def test_prebuilt_activity_table_gives_the_same_report(spark):
-    from radiokpi.operators.activity import counter_activity, entity_activity
+def test_stored_activity_gives_the_same_report(spark, tmp_path):
     t = tables(spark, [fact("C1", 1.0), fact("C2", None), fact("C1", 2.0, cell="2", file="g", revision=1), fact("C1", 2.0, family=None)])
-    stored = t.updated(entity_activity=entity_activity(t), counter_activity=counter_activity(t))
+    stored = store_activity(t, str(tmp_path))
     assert sorted(map(str, coverage.family_interval_coverage(t).collect())) == sorted(
         map(str, coverage.family_interval_coverage(stored).collect()))
 
