@@ -61,15 +61,14 @@ def collect_time_window(frame: DataFrame, start: datetime | None, end: datetime
 def latest_window(facts: DataFrame, dataset_family: str) -> DataFrame:
     """facts of one family at its newest collect time.
 
-    The newest time is a scalar subquery, so Spark evaluates it first and hands the
-    value to the scan, also as a partition filter where the table has collect_date.
+    The newest time is a scalar subquery, evaluated before the scan. Where the table
+    has collect_date, the newest day comes first and as a partition filter, so times
+    are read from one day only.
     """
     chosen = facts.where(F.col("dataset_family") == dataset_family)
-    newest = chosen.agg(F.max("collect_time").alias("newest"))
     if "collect_date" in facts.columns:
-        day = chosen.agg(F.to_date(F.max("collect_time")).alias("newest_day"))
-        chosen = chosen.where(F.col("collect_date") == day.scalar())
-    return chosen.where(F.col("collect_time") == newest.scalar())
+        chosen = chosen.where(F.col("collect_date") == chosen.agg(F.max("collect_date")).scalar())
+    return chosen.where(F.col("collect_time") == chosen.agg(F.max("collect_time")).scalar())
 
 
 def _window(tables: Tables, dataset_family: str, start, end) -> DataFrame:

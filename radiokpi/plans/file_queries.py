@@ -128,9 +128,18 @@ def _settled(t):
 
 _ASKED = "(select o_orderkey * 2 + 1 as id from orders where o_orderkey % 2 = 1)"
 
+_LACKING = {"topo_region": "(select * from topo_region where region_code <> 'ASIA')", "counter_reference":
+            "(select * from counter_reference where vendor <> 'ZTE')"}
+
+
+def _lacking(t):
+    """Tables without one region and without the known counters, so that references dangle."""
+    return t.updated(topo_region=t.topo_region.where("region_code <> 'ASIA'"), counter_reference=t.counter_reference.where("vendor <> 'ZTE'"))
+
+
 _DANGLING = " union all ".join(f"""
     select '{table}.{column}' as check_name, {column}::varchar as value, count(*) as row_count from {table}
-    where {column} is not null and {column} not in (select {key} from {other}) group by all""" for table, column, other, key in i.REFERENCES)
+    where {column} is not null and {column} not in (select {key} from {_LACKING.get(other, other)}) group by all""" for table, column, other, key in i.REFERENCES)
 _REPEATED = " union all ".join([f"""
     select '{table}({', '.join(columns)})' as check_name, concat_ws('|', {', '.join(columns)}) as value, count(*) as row_count
     from {table} group by all having count(*) > 1""" for table, columns in i.UNIQUE] + [
@@ -140,7 +149,7 @@ _REPEATED = " union all ".join([f"""
 
 QUERIES = [
     # --- integrity
-    Query("dangling_references", i.dangling_references, _DANGLING),
+    Query("dangling_references", lambda t: i.dangling_references(_lacking(t)), _DANGLING),
     Query("repeated_keys", i.repeated_keys, _REPEATED),
 
     # --- registry

@@ -8,6 +8,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from radiokpi.operators.kpi_results import latest_window
 from radiokpi.sources import archives as ar, facts as fa
 from radiokpi.streaming import jobs
 
@@ -134,6 +135,23 @@ def test_fact_table_prunes_partitions_and_counters(spark, folder, tmp_path_facto
     assert "PartitionFilters: [isnotnull(dataset_family" in plan and "EqualTo(counter_id,C1)" in plan
     assert "ReadSchema: struct<counter_id:string,counter_value:double>" in plan
     assert [r.counter_value for r in narrow.collect()] == [12.5, 12.5]
+    # The newest time is evaluated first and also bounds the partitions read.
+    newest = latest_window(fa.read_facts(spark, f"{root}/facts"), "PM/itbbu/ltefdd")
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    partition_filters = [part.split("PushedFilters", 1)[0] for part in plan.split("PartitionFilters: ")[1:]]
+    assert any("isnotnull(collect_date#" in filters for filters in partition_filters)
+    assert newest.count() == 4
+
+
+def test_large_group_of_copies_keeps_exactly_one(spark):
+    rows = [(f"f{n:04d}", "hot" if n % 3 else f"h{n}", None) for n in range(900)]
+    archives = spark.createDataFrame(rows, "source_file string, file_hash string, content binary")
+    audit = spark.createDataFrame([("SUCCESS", "h3"), ("FAILED", "h6")], "status string, file_hash string")
+    got = {r.source_file: r.duplicate_of for r in ar.skip_duplicate_files(archives, audit).collect()}
+    assert len(got) == 900 and got.pop("f0003") == "audit"
+    assert got.pop("f0001") is None
+    assert {got[f"f{n:04d}"] for n in range(2, 900) if n % 3} == {"f0001"}
+    assert {got[f"f{n:04d}"] for n in range(0, 900, 3) if n != 3} == {None}
 
 
 def test_revisions_replace_across_batches(spark, tmp_path):
