@@ -4,7 +4,7 @@ As in daily use, the counter rows are loaded first: ``write_facts`` derives them
 the given tables and writes the partitioned fact table, ``store_activity`` writes the
 two activity aggregates, and both are timed as queries of their own. The other queries
 read what was written and the given tables. Results go to a ``noop`` sink, so all rows
-are computed and none is collected; only small dimension tables stay in memory.
+are computed and none is collected. Dimension tables are written when first used.
 """
 
 from __future__ import annotations

@@ -9,12 +9,13 @@ purpose, since reporting them is what the operators do.
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from radiokpi.operators.topology import topology_enrichment
-from radiokpi.tables import Tables
+from radiokpi.tables import Tables, shared_folder
 
 GIVEN = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -342,10 +343,11 @@ def _spread(spark: SparkSession, path: str) -> DataFrame:
 
 
 _SPARK = definitions(Dialect(spark=True))
-# Dimension tables kept in memory once computed, so that their exact size decides between broadcast and shuffle.
+# Dimension tables written to the shared folder when first used, as a deployment would hold them: their size is
+# then known exactly and decides between broadcast and shuffle.
 _KEPT = ("entity_identity", "topo_site", "topo_entity_map", "ani_entity", "counter_reference", "counter_dictionary",
          "kpi_definition", "kpi_counter_mapping", "kpi_formula", "kpi_formula_input", "topo_enrichment")
-_cache: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], str] = {}
 _few_files: dict[tuple[str, int], bool] = {}
 
 
@@ -367,10 +369,11 @@ class DerivedTables(Tables):
 
     def _kept(self, name: str) -> DataFrame:
         key = (self._spark.sparkContext.applicationId, self._directory, name)
-        if key not in _cache:
-            _cache[key] = self._build(name).persist()
-            _cache[key].count()
-        return _cache[key]
+        if key not in _stored:
+            path = f"{shared_folder(self._spark)}/derived-{uuid.uuid4().hex}/{name}"
+            self._build(name).write.parquet(path)
+            _stored[key] = path
+        return self._spark.read.parquet(_stored[key])
 
     def _build(self, name: str) -> DataFrame:
         if name == "pm_sample":
