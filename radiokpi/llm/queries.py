@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from radiokpi.llm import imatch, mixing, packing, simhash
+from radiokpi.llm import imatch, mixing, packing, quality, simhash, toxicity
 
-MODULES = (imatch, mixing, packing, simhash)
+MODULES = (imatch, quality, mixing, toxicity, packing, simhash)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in getattr(module, "SQL", {}).items()}
