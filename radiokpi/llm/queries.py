@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from radiokpi.llm import imatch, mixing, neighbours, packing, pii, quality, simhash, toxicity
+from radiokpi.llm import imatch, mixing, neighbours, packing, pii, quality, rollups, simhash, toxicity
 
-MODULES = (imatch, quality, mixing, toxicity, pii, packing, neighbours, simhash)
+MODULES = (imatch, quality, mixing, toxicity, pii, packing, neighbours, rollups, simhash)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in MODULES for name, text in getattr(module, "SQL", {}).items()}
