@@ -10,16 +10,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from radiokpi.llm import mixing, packing, simhash
+from radiokpi.llm import mixing, packing, pii, quality, simhash
 from radiokpi.llm.common import documents
 from radiokpi.tables import shared_folder
 
 
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go; it learns from the labelled documents among ``docs``."""
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that of the smallest doc_id."""
     return simhash.one_of_each(docs)
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts gives way to the name of its kind."""
+    return pii.masked(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources ask."""
     return mixing.mixed_documents(docs)
@@ -30,7 +40,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
+STAGES = [("good_quality", good_quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data),
+          ("mix", mix), ("pack", pack)]
 # Training, tokenizers and graph components are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
