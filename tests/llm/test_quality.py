@@ -66,7 +66,8 @@ def test_one_class_or_no_labels(spark, docs):
     assert quality.kept(docs([]), spark.createDataFrame([], schema)).count() == 0
 
 
-def test_coordinate_descent_reaches_the_hinge_optimum():
+def test_coordinate_descent_reaches_the_hinge_optimum(monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 400)  # until it has converged
     rng = np.random.default_rng(0)
     rows = [np.sort(rng.choice(20, 6, replace=False)) for _ in range(60)]
     labels = np.array([int(r[0] < 2) for r in rows])
@@ -82,4 +83,4 @@ def test_coordinate_descent_reaches_the_hinge_optimum():
     for _ in range(200):
         step = np.zeros_like(weight)
         step[:20] = rng.normal(size=20) * 0.05
-        assert loss(weight + step, bias + rng.normal() * 0.05) > best * 0.98
+        assert loss(weight + step, bias + rng.normal() * 0.05) > best * 0.999
