@@ -27,9 +27,9 @@ def counter_number(value) -> Column:
     """Counter text as DOUBLE; NULL where blank or not a number.
 
     The pattern keeps out forms such as ``1d`` that a Spark cast would accept.
-    Digit groups with underscores stay NULL.
+    An underscore between two digits groups them and is left out.
     """
-    text = strip_space(value)
+    text = F.regexp_replace(strip_space(value), r"(?<=[0-9])_(?=[0-9])", "")
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 

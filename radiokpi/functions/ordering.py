@@ -15,14 +15,17 @@ def page(frame: DataFrame, *order: str, limit: int | None = None, offset: int =
 
     Without a limit or offset the frame is returned unsorted: a full sort of a
     distributed result is paid for only where a page is asked for. With a limit
-    Spark plans a per-partition top-k instead of a global sort.
+    Spark plans a per-partition top-k instead of a global sort. An offset alone would
+    put all rows behind it into one task and is refused.
     """
-    if limit is None and not offset:
+    if limit is None:
+        if offset:
+            raise ValueError("an offset needs a limit")
         return frame
     ordered = frame.orderBy(*sort_keys(*order))
     if offset:
         ordered = ordered.offset(offset)
-    return ordered if limit is None else ordered.limit(limit)
+    return ordered.limit(limit)
 
 
 def first_per(frame: DataFrame, keys: list[str], *, smallest: list[Column] | None = None,

@@ -110,3 +110,25 @@ def vendor_indicator_details(tables: Tables, *, limit: int | None = None) -> Dat
 def vendor_indicators_by_alias(tables: Tables, *, aliases: Sequence[str]) -> DataFrame:
     """F19."""
     return vendor_indicator_details(tables).where(F.col("semantic_alias").isin(*aliases))
+
+
+# KPI inputs that are resolved before facts are read; more of them are joined as a table instead.
+RESOLVED = 1000
+
+
+def resolved(specs: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """``specs`` with its rows at hand, and its counter ids for a filter the fact scan can use.
+
+    A definition names a handful of counters. Spark takes the estimated size of a join of
+    dimension tables for the product of their sizes and would shuffle all facts to meet it;
+    rows that are at hand have a known size. At most ``RESOLVED`` + 1 small rows are read; if
+    there are more, ``specs`` comes back as it is, without ids.
+    """
+    rows = specs.limit(RESOLVED + 1).collect()
+    if len(rows) > RESOLVED:
+        return specs, None
+    return specs.sparkSession.createDataFrame(rows, specs.schema), sorted({r["counter_id"] for r in rows})
+
+
+def facts_of(facts: DataFrame, counter_ids: list[str] | None) -> DataFrame:
+    return facts if counter_ids is None else facts.where(F.col("counter_id").isin(counter_ids))

@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from radiokpi.functions import page
 from radiokpi.functions.columns import percent_ratio
 from radiokpi.operators.entities import keyed_facts, with_level
-from radiokpi.operators.kpi_definitions import verified_counter_specs
+from radiokpi.operators.kpi_definitions import facts_of, resolved, verified_counter_specs
 from radiokpi.operators.kpi_semantic import (
     KPI_CODES, RRC_ALIASES, output_validation, verified_rrc_place_time,
 )
@@ -106,7 +106,7 @@ def _metrics(family: str) -> list[Column]:
 
 
 def kpi_results_entity(tables: Tables, *, family: str, dataset_family: str, collect_time_from: datetime | None = None,
-                       collect_time_to: datetime | None = None, limit: int | None = 100, offset: int = 0) -> DataFrame:
+                       collect_time_to: datetime | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """K12."""
     _check(family, "entity-time")
     values = _entity_values(tables, family, dataset_family, collect_time_from, collect_time_to).where(_present(family))
@@ -118,7 +118,7 @@ def kpi_results_entity(tables: Tables, *, family: str, dataset_family: str, coll
 
 def kpi_results_rollup(tables: Tables, *, family: str, grain: str, dataset_family: str, site_code: str | None = None,
                        region_code: str | None = None, collect_time_from: datetime | None = None,
-                       collect_time_to: datetime | None = None, limit: int | None = 100, offset: int = 0) -> DataFrame:
+                       collect_time_to: datetime | None = None, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Entity ratios first, then their unweighted mean per site or region."""
     _check(family, grain)
     place = grain.removesuffix("-time")
@@ -137,7 +137,7 @@ def kpi_results_rollup(tables: Tables, *, family: str, grain: str, dataset_famil
 def kpi_results_rrc_rollup(tables: Tables, *, grain: str, dataset_family: str | None = None,
                            site_code: str | None = None, region_code: str | None = None,
                            collect_time_from: datetime | None = None, collect_time_to: datetime | None = None,
-                           limit: int | None = 100, offset: int = 0) -> DataFrame:
+                           limit: int | None = None, offset: int = 0) -> DataFrame:
     """Every filter optional and applied to the facts or the place before grouping."""
     _check("rrc", grain)
     place = grain.removesuffix("-time")
@@ -180,9 +180,10 @@ def _identity_tuple() -> Column:
 def kpi_validation_entity(tables: Tables, *, family: str, dataset_family: str | None = None) -> DataFrame:
     """Per KPI the inputs seen in facts and the entity-times where every required input is present.
 
-    The dictionary's own verification status is reported, not required. Facts are first
-    reduced to one row per KPI input, time and entity; both halves read that reduction,
-    where the inputs present at one entity and time are just its rows.
+    The dictionary's own verification status is reported, not required. One aggregate reduces
+    the facts to one row per KPI, time and entity with the inputs present as bits of a number;
+    both halves read that reduction. An input's times and entities are counted after it, on
+    a row for each bit.
     """
     _check(family, "entity-time")
     codes = KPI_CODES.get(family) or tuple(RRC_ALIASES)
@@ -197,22 +198,25 @@ def kpi_validation_entity(tables: Tables, *, family: str, dataset_family: str |
         specs = specs.where(F.col("dataset_family") == dataset_family)
 
     keys, key = ["kpi_code", "dataset_family"], ["dataset_family", "counter_id"]
-    seen = tables.pm_sample.select(*key, "collect_time", _identity_tuple().alias("entity")).join(
-        specs.select(*key, "kpi_code", "input_alias"), key).select(*keys, "input_alias", "collect_time", "entity").distinct()
-
-    per_input = seen.groupBy(*keys, "input_alias").agg(
+    by_input = Window.partitionBy(*keys).orderBy("input_alias")
+    specs, counter_ids = resolved(specs.withColumn("_place", F.dense_rank().over(by_input) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_place"))
+    reduced = facts_of(tables.pm_sample, counter_ids).select(*key, "collect_time", _identity_tuple().alias("entity")).join(
+        specs.select(*key, "kpi_code", bit.alias("_bit")), key).groupBy(*keys, "collect_time", "entity").agg(F.bit_or("_bit").alias("_bits"))
+
+    places = specs.select(*keys, "input_alias", bit.alias("_bit")).distinct()
+    per_input = reduced.join(places, keys).where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).groupBy(*keys, "input_alias").agg(
         F.count_distinct("collect_time").alias("times"), F.count_distinct("entity").alias("entities"))
     covered = specs.join(per_input, [*keys, "input_alias"], "left").groupBy(*keys).agg(
         F.count("times").alias("covered_input_aliases"),
         F.min("counter_status").alias("min_counter_verification_status"),
-        F.min("times").alias("min_input_collect_times"), F.min("entities").alias("min_input_entities"),
-        F.count_distinct("input_alias").alias("_required"))
-    complete = seen.groupBy(*keys, "collect_time", "entity").agg(F.count("*").alias("_present"))
-    executed = complete.join(covered.select(*keys, "_required"), keys).where("_present = _required").groupBy(*keys).agg(
+        F.min("times").alias("min_input_collect_times"), F.min("entities").alias("min_input_entities"))
+    required = specs.groupBy(*keys).agg(F.bit_or(bit).alias("_all"))
+    executed = reduced.join(required, keys).where("_bits = _all").groupBy(*keys).agg(
         F.count("*").alias("executed_rows"), F.count_distinct("collect_time").alias("executed_collect_times"),
         F.count_distinct("entity").alias("executed_entities"))
-    return covered.drop("_required").join(executed, keys, "left").select(
-        *covered.columns[:-1], *[F.coalesce(c, F.lit(0)).alias(c) for c in executed.columns[2:]])
+    return covered.join(executed, keys, "left").select(
+        *covered.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in executed.columns[2:]])
 
 
 def kpi_validation(tables: Tables, *, family: str, grain: str, dataset_family: str | None = None) -> DataFrame:

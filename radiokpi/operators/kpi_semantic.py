@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from radiokpi.functions import page
 from radiokpi.functions.columns import percent_ratio
 from radiokpi.operators.entities import keyed_facts, with_level
+from radiokpi.operators.kpi_definitions import facts_of, resolved
 from radiokpi.operators.topology import PLACES, entity_topology_projection, raw_with_entity_topology, with_places
 from radiokpi.schemas import CELL_FAMILIES
 from radiokpi.tables import Tables
@@ -52,19 +53,23 @@ def base_inputs(tables: Tables) -> DataFrame:
         *ENTITY_TIME, "entity_level", *PLACES, *keys[len(ENTITY_TIME):], *stats.columns[len(keys):])
 
 
-def kpi_input_coverage(tables: Tables, *, limit: int | None = None) -> DataFrame:
-    """Entities, times and rows behind every KPI input, zero where no fact matches."""
+def kpi_input_coverage(tables: Tables, *, kpi_codes: tuple[str, ...] | None = None, limit: int | None = None) -> DataFrame:
+    """Entities, times and rows behind every KPI input, zero where no fact matches.
+
+    ``kpi_codes`` restricts the report, and the facts it reads, to the inputs of these KPIs.
+    """
+    wanted_inputs = tables.kpi_formula_input if kpi_codes is None else tables.kpi_formula_input.where(F.col("kpi_code").isin(*kpi_codes))
     meaning = tables.counter_dictionary.select(
         "dataset_family", "counter_alias", "counter_id", F.col("verification_status").alias("counter_verification_status"))
-    wanted = meaning.join(tables.kpi_formula_input.select("dataset_family", "counter_alias"),
-                          ["dataset_family", "counter_alias"], "left_semi")
-    per_entity = keyed_facts(tables).join(
+    wanted, counter_ids = resolved(meaning.join(
+        wanted_inputs.select("dataset_family", "counter_alias"), ["dataset_family", "counter_alias"], "left_semi"))
+    per_entity = facts_of(keyed_facts(tables), counter_ids).join(
         wanted.select("dataset_family", "counter_id", "counter_alias"), ["dataset_family", "counter_id"],
     ).groupBy("dataset_family", "counter_alias", "logical_entity_key", "collect_time").agg(F.count("*").alias("row_count"))
     seen = per_entity.groupBy("dataset_family", "counter_alias").agg(
         F.count_distinct("logical_entity_key").alias("distinct_logical_entities"),
         F.count_distinct("collect_time").alias("distinct_collect_times"), F.sum("row_count").alias("row_count"))
-    inputs = tables.kpi_formula_input.select("kpi_code", "input_alias", "dataset_family", "counter_alias", "required")
+    inputs = wanted_inputs.select("kpi_code", "input_alias", "dataset_family", "counter_alias", "required")
     names = tables.kpi_formula.select("kpi_code", "kpi_name")
     joined = (
         inputs.join(names, "kpi_code").join(meaning.drop("counter_id"), ["dataset_family", "counter_alias"], "left")
@@ -84,7 +89,8 @@ def _verified_inputs(tables: Tables, family: str) -> DataFrame:
 
     ``alias_rank`` orders the counter aliases of a KPI. The fact aggregate takes the
     largest rank, a number, in place of the largest alias: a text maximum would turn
-    the hash aggregate over facts into a sort.
+    the hash aggregate over facts into a sort. ``input_bit`` stands for the input, so that
+    inputs are counted as bits of one number in the same aggregate.
     """
     kpis = _verified_kpis(tables, family).select("kpi_code")
     inputs = tables.kpi_formula_input.where("required").select(
@@ -94,7 +100,9 @@ def _verified_inputs(tables: Tables, family: str) -> DataFrame:
     ).select("dataset_family", "counter_alias", "counter_id")
     specs = kpis.join(inputs, "kpi_code").join(counters, ["dataset_family", "counter_alias"])
     by_alias = Window.partitionBy("kpi_code", "dataset_family").orderBy("counter_alias")
-    return specs.withColumn("alias_rank", F.dense_rank().over(by_alias))
+    by_input = Window.partitionBy("kpi_code", "dataset_family").orderBy("input_alias")
+    return specs.withColumn("alias_rank", F.dense_rank().over(by_alias)).withColumn(
+        "input_bit", F.call_function("shiftleft", F.lit(1).cast("long"), F.dense_rank().over(by_input) - 1))
 
 
 def _verified_kpis(tables: Tables, family: str) -> DataFrame:
@@ -107,15 +115,15 @@ def verified_entity_time(tables: Tables, *, family: str, limit: int | None = Non
 
     ``topology_rollup_allowed`` is carried along and enforced nowhere.
     """
-    specs = _verified_inputs(tables, family)
-    facts = keyed_facts(tables).join(
-        specs.select("dataset_family", "counter_id", "kpi_code", "input_alias", "alias_rank"), ["dataset_family", "counter_id"])
+    specs, counter_ids = resolved(_verified_inputs(tables, family))
+    facts = facts_of(keyed_facts(tables), counter_ids).join(
+        specs.select("dataset_family", "counter_id", "kpi_code", "input_alias", "alias_rank", "input_bit"), ["dataset_family", "counter_id"])
     top, bottom = F.col("input_alias") == "numerator", F.col("input_alias") == "denominator"
     pivoted = facts.groupBy("kpi_code", *ENTITY_TIME).agg(
         F.max(F.when(top, F.col("alias_rank"))).alias("_top"), F.max(F.when(bottom, F.col("alias_rank"))).alias("_bottom"),
         F.sum(F.when(top, F.col("counter_value"))).alias("numerator_value"),
         F.sum(F.when(bottom, F.col("counter_value"))).alias("denominator_value"),
-        F.count_distinct("input_alias").alias("_inputs")).where("_inputs = 2")
+        F.bit_or("input_bit").alias("_inputs")).where("bit_count(_inputs) = 2")
 
     def alias_of(rank: str, name: str) -> DataFrame:
         return specs.select("kpi_code", "dataset_family", F.col("alias_rank").alias(rank),
@@ -149,7 +157,7 @@ def verified_place_time(tables: Tables, *, family: str, place: str, limit: int |
 def execution_validation(tables: Tables, *, family: str, limit: int | None = None) -> DataFrame:
     """K7 (prb), K8 (bler): input coverage beside the rows actually produced."""
     keys = ["kpi_code", "dataset_family"]
-    covered = kpi_input_coverage(tables).where(F.col("kpi_code").isin(*KPI_CODES[family])).groupBy(*keys).agg(
+    covered = kpi_input_coverage(tables, kpi_codes=tuple(KPI_CODES[family])).groupBy(*keys).agg(
         F.count_distinct("input_alias").alias("covered_input_aliases"),
         F.min("counter_verification_status").alias("min_counter_verification_status"),
         F.min("distinct_collect_times").alias("min_input_collect_times"),

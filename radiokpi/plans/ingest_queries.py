@@ -57,7 +57,8 @@ def _parsed(t) -> DataFrame:
 
 def _copies(packed: DataFrame) -> DataFrame:
     """Some archives once more under another name."""
-    return packed.where("source_file like 'UMEID_LTEFDD%.zip'").withColumn("source_file", F.concat(F.lit("copy_"), "source_file"))
+    return packed.where("source_file like 'UMEID_LTEFDD%.zip'").withColumns(
+        {"source_file": F.concat(F.lit("copy_"), "source_file"), "path": F.concat("path", F.lit("_copy"))})
 
 
 def _marked(t) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +79,7 @@ def _summary(t) -> DataFrame:
     packed, done = _marked(t)
     marked = _staged(t, ar.skip_duplicate_files(packed, done))
     parsed = _staged(t, ar.parse_pm_rows(ar.expand_archives(marked.where("duplicate_of is null"))))
-    return ar.ingest_summary(marked, parsed).drop("file_hash")
+    return ar.ingest_summary(marked, parsed).drop("file_hash", "path")
 
 
 def _written(t) -> DataFrame:
@@ -279,7 +280,7 @@ def _streamed(t) -> str:
 
 
 def _stream_facts(t) -> DataFrame:
-    return fa.read_facts(t.pm_base.sparkSession, f"{_streamed(t)}/facts").select(*_CELLS_LIST)
+    return fa.read_loaded_facts(t.pm_base.sparkSession, _streamed(t)).select(*_CELLS_LIST)
 
 
 def _stream_statuses(t) -> DataFrame:
@@ -293,12 +294,10 @@ def _fact_stream(t, folder: str, files: int) -> DataFrame:
 
 
 def _stream_intervals(t) -> DataFrame:
-    """All input in one batch, then a closing batch that emits what the watermark has passed."""
-    folder, spark = _folder(t), t.pm_base.sparkSession
-    _fact_stream(t, folder, 4)
-    whole = spark.readStream.schema(t.pm_sample.schema).parquet(f"{folder}/facts_in")
-    jobs.stream_table(jobs.interval_statistics(whole), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    """Several batches, each of which brings rows of many intervals, old ones too."""
+    folder = _folder(t)
+    jobs.stream_intervals(_fact_stream(t, folder, 6), f"{folder}/out").awaitTermination()
+    return jobs.interval_totals(t.pm_base.sparkSession, f"{folder}/out")
 
 
 def _stream_revisions(t) -> DataFrame:
@@ -329,7 +328,7 @@ QUERIES = [
         select source_file, 'time data ''badtime'' does not match format ''%Y%m%d%H%M%S''' as error_message from {_FILES} where failed"""),
     Query("unpivot_counters", lambda t: ar.unpivot_counters(ar.good_rows(_parsed(t))).select(*_CELLS_LIST), f"""
         select {_CELLS} from (select {_PARSED}, counter_id, counter_value from {_FACTS})""", "counter_value"),
-    Query("unknown_columns", lambda t: ar.unknown_columns(_parsed(t)), f"select source_file, 'NOISE' as unknown_columns from {_FILES}"),
+    Query("unknown_columns", lambda t: ar.unknown_columns(_parsed(t)).drop("path"), f"select source_file, 'NOISE' as unknown_columns from {_FILES}"),
     Query("skip_duplicate_files", lambda t: ar.skip_duplicate_files(*_marked(t)).select("source_file", "duplicate_of"), _DUPES),
     Query("ingest_summary", _summary, f"""
         with marked as (select d.source_file, duplicate_of, f.failed, f.n, o.failed as origin_failed from ({_DUPES}) d
@@ -407,8 +406,7 @@ QUERIES = [
               select *, true from {_FILES} where source_file like 'UMEID\\_LTEFDD%.zip' escape '\\') group by all"""),
     Query("stream_interval_kpi", _stream_intervals, """
         select collect_time as interval_start, dataset_family, counter_id, count(*) as row_count, sum(counter_value) as sum_counter_value,
-          max(counter_value) as max_counter_value from pm_sample
-        where collect_time + interval 15 minutes <= (select max(collect_time) - interval 1 hour from pm_sample) group by all""",
+          max(counter_value) as max_counter_value from pm_sample group by all""",
           "sum_counter_value max_counter_value"),
     Query("stream_revisions", _stream_revisions, """
         select dataset_family, interval_start, revision, count(*) as row_count, sum(counter_value) as sum_counter_value

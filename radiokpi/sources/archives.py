@@ -20,31 +20,30 @@ from radiokpi.functions import blank_to_null, counter_number, stamp, strip_space
 from radiokpi.schemas import FACT_COLUMNS, KEPT_DIMENSIONS, KNOWN_COLUMNS, TIME_COLUMN
 from radiokpi.sources.manifest import with_archive_fields
 
-EXPANDED = "source_file string, csv_name string, member_no int, row_no bigint, row map<string,string>, problem string"
+EXPANDED = "path string, source_file string, csv_name string, member_no int, row_no bigint, row map<string,string>, problem string"
 _BATCH_CELLS, _BATCH_ROWS = 500_000, 20_000
 _ARROW = pa.schema([
-    ("source_file", pa.string()), ("csv_name", pa.string()), ("member_no", pa.int32()), ("row_no", pa.int64()),
+    ("path", pa.string()), ("source_file", pa.string()), ("csv_name", pa.string()), ("member_no", pa.int32()), ("row_no", pa.int64()),
     ("row", pa.map_(pa.string(), pa.string())), ("problem", pa.string())])
 
 
-def _members(name: str, content: bytes) -> Iterator[tuple[str, io.TextIOWrapper]]:
-    """CSV members of a zip or gzipped tar, byte-order mark removed."""
-    data = io.BytesIO(content)
-    lower = name.lower()
-    if lower.endswith(".zip"):
-        with zipfile.ZipFile(data) as archive:
-            for member in archive.infolist():
-                if not member.is_dir() and member.filename.lower().endswith(".csv"):
-                    with archive.open(member) as raw:
-                        yield member.filename, io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
-    elif lower.endswith((".tar.gz", ".tgz")):
-        with tarfile.open(fileobj=data, mode="r:gz") as archive:
-            for member in archive:
-                if member.isfile() and member.name.lower().endswith(".csv"):
-                    raw = archive.extractfile(member)
-                    yield member.name, io.TextIOWrapper(raw, encoding="utf-8-sig", newline="")
+def _members(content: bytes) -> Iterator[tuple[str, io.TextIOWrapper]]:
+    """CSV members of an archive, byte-order mark removed. The leading bytes say what it is, not its name."""
+    packed = io.BytesIO(content)
+    if content.startswith(b"PK"):
+        box = zipfile.ZipFile(packed)
+        entries = ((entry.filename, entry, entry.is_dir()) for entry in box.infolist())
+        opened = box.open
+    elif content.startswith(b"\x1f\x8b"):
+        box = tarfile.open(fileobj=packed)
+        entries = ((entry.name, entry, not entry.isfile()) for entry in box)
+        opened = box.extractfile
     else:
-        raise ValueError(f"Unsupported archive format: {name}")
+        raise ValueError("neither a zip nor a gzipped tar archive")
+    with box:
+        for name, entry, skipped in entries:
+            if not skipped and name[-4:].lower() == ".csv":
+                yield name, io.TextIOWrapper(opened(entry), encoding="utf-8-sig", newline="")
 
 
 class _Rows:
@@ -54,8 +53,8 @@ class _Rows:
         self.head: list[tuple] = []
         self.offsets, self.keys, self.values = [0], [], []
 
-    def add(self, source: str, member: str | None, member_no: int, row_no: int, keys=(), values=(), problem=None) -> None:
-        self.head.append((source, member, member_no, row_no, problem))
+    def add(self, source: tuple[str, str], member: str | None, member_no: int, row_no: int, keys=(), values=(), problem=None) -> None:
+        self.head.append((*source, member, member_no, row_no, problem))
         self.keys += keys
         self.values += values
         self.offsets.append(len(self.keys))
@@ -65,20 +64,20 @@ class _Rows:
         return len(self.keys) >= _BATCH_CELLS or len(self.head) >= _BATCH_ROWS
 
     def take(self) -> pa.RecordBatch:
-        source, member, member_no, row_no, problem = zip(*self.head)
+        path, source, member, member_no, row_no, problem = zip(*self.head)
         rows = pa.MapArray.from_arrays(
             pa.array(self.offsets, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
         batch = pa.RecordBatch.from_arrays([
-            pa.array(source, pa.string()), pa.array(member, pa.string()), pa.array(member_no, pa.int32()),
+            pa.array(path, pa.string()), pa.array(source, pa.string()), pa.array(member, pa.string()), pa.array(member_no, pa.int32()),
             pa.array(row_no, pa.int64()), rows, pa.array(problem, pa.string())], schema=_ARROW)
         self.__init__()
         return batch
 
 
-def _unpack(source: str, content: bytes, rows: _Rows) -> Iterator[pa.RecordBatch]:
+def _unpack(source: tuple[str, str], content: bytes, rows: _Rows) -> Iterator[pa.RecordBatch]:
     member, member_no = None, 0
     try:
-        for member_no, (member, text) in enumerate(_members(source, content), start=1):
+        for member_no, (member, text) in enumerate(_members(content), start=1):
             rows.add(source, member, member_no, 0)
             reader = csv.reader(text)
             # Names are compared trimmed and upper-cased; of equal ones the last column counts.
@@ -94,7 +93,9 @@ def _unpack(source: str, content: bytes, rows: _Rows) -> Iterator[pa.RecordBatch
 
 
 def expand_archives(archives: DataFrame) -> DataFrame:
-    """Archives (source_file, content) to one row per CSV record.
+    """Archives (path, source_file, content) to one row per CSV record.
+
+    A file is known by its path from here on; files of equal name in different folders are different files.
 
     Row number 0 marks a member (also one without records) or, with ``problem``
     set, the point where the archive could not be read.
@@ -102,12 +103,17 @@ def expand_archives(archives: DataFrame) -> DataFrame:
     def expand(batches):
         rows = _Rows()
         for batch in batches:
-            for source, content in zip(batch.column(0), batch.column(1)):
-                yield from _unpack(source.as_py(), content.as_py(), rows)
+            for path, name, content in zip(*batch.columns):
+                yield from _unpack((path.as_py(), name.as_py()), content.as_py(), rows)
         if rows.head:
             yield rows.take()
 
-    return archives.select("source_file", "content").mapInArrow(expand, EXPANDED)
+    return located(archives).select("path", "source_file", "content").mapInArrow(expand, EXPANDED)
+
+
+def located(archives: DataFrame) -> DataFrame:
+    """Archives with ``path``; where a listing has none, the name is the path."""
+    return archives if "path" in archives.columns else archives.withColumn("path", F.col("source_file"))
 
 
 def archive_content(files: DataFrame) -> DataFrame:
@@ -122,14 +128,18 @@ def archive_content(files: DataFrame) -> DataFrame:
 def skip_duplicate_files(archives: DataFrame, audit: DataFrame) -> DataFrame:
     """Archives with ``duplicate_of`` set where the bytes were loaded before or come earlier in this batch.
 
-    'audit' stands for a hash already loaded, otherwise the name of the batch file with the same bytes.
+    'audit' stands for a hash already loaded, otherwise the name of the batch file with the same bytes, whose path
+    is ``duplicate_path``. The first path of a group stays, whatever the names. Content is not needed and best left out.
     """
+    archives = located(archives)
     loaded = audit.where("status = 'SUCCESS' and file_hash is not null").select("file_hash").distinct()
     loaded = loaded.withColumn("_loaded", F.lit("audit"))
-    first = archives.groupBy("file_hash").agg(F.min("source_file").alias("_first"))
+    first = archives.groupBy("file_hash").agg(F.min(F.struct("path", "source_file")).alias("_first"))
     marked = archives.join(first, "file_hash").join(loaded, "file_hash", "left")
-    again = F.when(F.col("source_file") != F.col("_first"), F.col("_first"))
-    return marked.select(*archives.columns, F.coalesce("_loaded", again).alias("duplicate_of"))
+    again = F.when(F.col("path") != F.col("_first.path"), F.col("_first"))
+    fresh = F.col("_loaded").isNull()
+    return marked.select(*archives.columns, F.coalesce("_loaded", again["source_file"]).alias("duplicate_of"),
+                         F.when(fresh, again["path"]).alias("duplicate_path"))
 
 
 # --- rows -----------------------------------------------------------------------------------
@@ -162,7 +172,7 @@ def parse_pm_rows(expanded: DataFrame) -> DataFrame:
     extra = F.array_except(F.map_keys("row"), F.array(*[F.lit(c) for c in KNOWN_COLUMNS]))
     unknown = F.filter(extra, lambda name: ~name.rlike(r"^C[0-9]+$"))
     return expanded.select(
-        "source_file", "csv_name", "member_no", "row_no", _collect_time().alias("collect_time"), *dims,
+        "path", "source_file", "csv_name", "member_no", "row_no", _collect_time().alias("collect_time"), *dims,
         _counters().alias("counters"), unknown.alias("unknown_columns"),
         F.coalesce("problem", F.when(is_row, _row_problem())).alias("problem"))
 
@@ -170,7 +180,7 @@ def parse_pm_rows(expanded: DataFrame) -> DataFrame:
 def failed_files(parsed: DataFrame) -> DataFrame:
     """First bad record of every file that has one. Any bad record fails the whole file."""
     place = F.struct("member_no", "row_no")
-    return parsed.where("problem is not null").groupBy("source_file").agg(
+    return parsed.where("problem is not null").groupBy("path", "source_file").agg(
         F.min(place).alias("failed_at"), F.min_by("problem", place).alias("error_message"))
 
 
@@ -181,7 +191,7 @@ def good_rows(parsed: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     then knows how small it is and need not shuffle the records to leave them out.
     """
     failed = failed_files(parsed) if failed is None else failed
-    return parsed.where("row_no > 0").join(failed.select("source_file"), "source_file", "left_anti")
+    return parsed.where("row_no > 0").join(failed.select("path"), "path", "left_anti")
 
 
 def unpivot_counters(rows: DataFrame) -> DataFrame:
@@ -196,39 +206,39 @@ def unknown_columns(parsed: DataFrame) -> DataFrame:
 
     Records of one member share their columns, so the arrays are made distinct before they are taken apart.
     """
-    per_member = parsed.where("row_no > 0").select("source_file", "unknown_columns").distinct()
-    names = per_member.select("source_file", F.explode("unknown_columns").alias("name")).distinct()
-    return names.groupBy("source_file").agg(F.array_sort(F.collect_list("name")).alias("unknown_columns"))
+    per_member = parsed.where("row_no > 0").select("path", "source_file", "unknown_columns").distinct()
+    names = per_member.select("path", "source_file", F.explode("unknown_columns").alias("name")).distinct()
+    return names.groupBy("path", "source_file").agg(F.array_sort(F.collect_list("name")).alias("unknown_columns"))
 
 
 def ingest_summary(archives: DataFrame, parsed: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """One row per archive (with duplicate_of from S10).
+    """One row per archive (with duplicate_of and duplicate_path from S10), by path.
 
     A failed file counts what came before its first bad record and inserts nothing;
     a copy of a failed file has failed as well; other duplicates count nothing.
     """
     bad = failed_files(parsed) if failed is None else failed
-    seen = parsed.join(bad.select("source_file", "failed_at"), "source_file", "left")
+    seen = parsed.join(bad.select("path", "failed_at"), "path", "left")
     place = F.struct("member_no", "row_no")
     seen = seen.where(F.col("failed_at").isNull() | (place <= F.col("failed_at")))
     is_row, used = F.col("row_no") > 0, (F.col("row_no") > 0) & F.col("problem").isNull()
     empty = F.size(F.filter(F.map_values("counters"), lambda v: counter_number(v).isNull()))
-    stats = seen.groupBy("source_file").agg(
+    stats = seen.groupBy("path").agg(
         F.count_if((F.col("row_no") == 0) & F.col("problem").isNull()).alias("csv_files_found"),
         F.count_if(is_row).alias("input_rows_read"),
         F.sum(F.when(used, F.size("counters"))).alias("normalized_rows_emitted"),
         F.sum(F.when(used, empty)).alias("null_counter_values"))
     names = unknown_columns(seen.where("problem is null"))
     joined = (
-        archives.select("source_file", "file_hash", "duplicate_of").join(stats, "source_file", "left")
-        .join(names, "source_file", "left").join(bad, "source_file", "left")
-        .join(bad.select(F.col("source_file").alias("duplicate_of"), F.col("error_message").alias("_same_error")),
-              "duplicate_of", "left"))
+        archives.select("path", "source_file", "file_hash", "duplicate_of", "duplicate_path").join(stats, "path", "left")
+        .join(names.drop("source_file"), "path", "left").join(bad.drop("source_file"), "path", "left")
+        .join(bad.select(F.col("path").alias("duplicate_path"), F.col("error_message").alias("_same_error")),
+              "duplicate_path", "left"))
     error = F.coalesce("error_message", "_same_error")
     status = F.when(error.isNotNull(), "FAILED").when(F.col("duplicate_of").isNotNull(), "SKIPPED_DUPLICATE").otherwise("SUCCESS")
     emitted = F.coalesce("normalized_rows_emitted", F.lit(0))
     return joined.select(
-        "source_file", "file_hash", status.alias("status"),
+        "path", "source_file", "file_hash", status.alias("status"),
         F.coalesce("csv_files_found", F.lit(0)).alias("csv_files_found"),
         F.coalesce("input_rows_read", F.lit(0)).alias("input_rows_read"),
         emitted.alias("normalized_rows_emitted"), F.when(status == "SUCCESS", emitted).otherwise(0).alias("rows_inserted"),

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from radiokpi.operators.activity import counter_activity, entity_activity
 from radiokpi.schemas import FACT_COLUMNS
 from radiokpi.sources.archives import (
-    expand_archives, failed_files, good_rows, ingest_summary, parse_pm_rows, skip_duplicate_files, unpivot_counters,
+    expand_archives, failed_files, good_rows, ingest_summary, located, parse_pm_rows, skip_duplicate_files, unpivot_counters,
 )
 from radiokpi.tables import Tables
 
@@ -22,7 +23,31 @@ AUDIT_SCHEMA = """
 """
 
 
-def write_facts(facts: DataFrame, path: str, *, load_id: int) -> None:
+FACT_SCHEMA = """
+    source_file string, dataset_family string, interval_start timestamp_ntz, revision int, csv_name string,
+    collect_time timestamp_ntz, trncmeid string, ani string, sbnid string, enbid string, enodebid string, cellid string,
+    meid string, systemmode string, midflag string, netype string, counter_id string, counter_value double,
+    load string, collect_date date
+"""
+ACTIVITY = {
+    "entity_activity": """dataset_family string, logical_entity_key string, interval_start timestamp_ntz,
+        collect_time timestamp_ntz, source_file string, revision int, row_count bigint, value_count bigint, load string""",
+    "counter_activity": """dataset_family string, interval_start timestamp_ntz, collect_time timestamp_ntz,
+        source_file string, counter_id string, row_count bigint, value_count bigint, load string""",
+}
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet folder by its schema; a folder that is not there yet has no rows."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def write_facts(facts: DataFrame, path: str, *, load_id: int | str) -> None:
     """Write one load below ``path/load=<id>``, partitioned by family and day.
 
     The rebalance hint lets AQE cut a family-day that holds most rows into several
@@ -37,16 +62,33 @@ def write_facts(facts: DataFrame, path: str, *, load_id: int) -> None:
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """Fact table; ``collect_date`` stays beside the fact columns for partition pruning."""
-    return spark.read.parquet(path).select(*FACT_COLUMNS, "collect_date")
+    return _stored(spark, path, FACT_SCHEMA).select(*FACT_COLUMNS, "collect_date")
+
+
+def read_loaded_facts(spark: SparkSession, root: str) -> DataFrame:
+    """Facts of the loads that the audit below ``root`` names; those of a load that broke off before it are left out."""
+    runs = read_audit(spark, f"{root}/audit").select(F.col("run_id").substr(F.lit(6), F.lit(1000)).alias("load")).distinct()
+    return _stored(spark, f"{root}/facts", FACT_SCHEMA).join(runs, "load", "left_semi").select(*FACT_COLUMNS, "collect_date")
+
+
+def store_activity(tables: Tables, root: str, *, load_id: int | str = 0) -> Tables:
+    """Write both activity aggregates of one load's facts and hand back ``Tables`` whose reports read all loads.
+
+    The aggregates add up across loads, so a load writes its own share below ``load=<id>`` and never
+    rebuilds or overwrites another's. Stored aggregates in ``tables`` are not read, only its facts.
+    """
+    facts = Tables(pm_sample=tables.pm_sample)
+    for name, build in {"entity_activity": entity_activity, "counter_activity": counter_activity}.items():
+        build(facts).write.mode("overwrite").parquet(f"{root}/{name}/load={load_id}")
+    return tables.updated(**read_activity(tables.pm_sample.sparkSession, root))
 
 
-def store_activity(tables: Tables, root: str) -> Tables:
-    """Write both activity aggregates as tables and hand back ``Tables`` whose reports read them."""
-    stored = {"entity_activity": entity_activity(tables), "counter_activity": counter_activity(tables)}
-    for name, frame in stored.items():
-        frame.write.mode("overwrite").parquet(f"{root}/{name}")
-    spark = tables.pm_sample.sparkSession
-    return tables.updated(**{name: spark.read.parquet(f"{root}/{name}") for name in stored})
+def read_activity(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """Both activity aggregates over all loads below ``root``."""
+    counts = ("row_count", "value_count")
+    read = {name: _stored(spark, f"{root}/{name}", schema).drop("load") for name, schema in ACTIVITY.items()}
+    return {name: rows.groupBy(*[c for c in rows.columns if c not in counts]).agg(*[F.sum(c).alias(c) for c in counts])
+            for name, rows in read.items()}
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
@@ -58,9 +100,9 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], AUDIT_SCHEMA)
 
 
-def ingest_batch(archives: DataFrame, root: str, *, load_id: int, processed_at: datetime, trigger_type: str = "batch",
+def ingest_batch(archives: DataFrame, root: str, *, load_id: int | str, processed_at: datetime, trigger_type: str = "batch",
                  source_type: str = "local") -> None:
-    """S4–S10 and G11 for one batch of archives (source_file, file_hash, content).
+    """S4–S10 and G11 for one batch of archives (path, source_file, file_hash, content).
 
     Parsed records are written once to a staging table below ``root``; facts and
     audit both read that, so nothing is unpacked twice and a lost executor repeats
@@ -71,10 +113,13 @@ def ingest_batch(archives: DataFrame, root: str, *, load_id: int, processed_at:
     staging = f"{root}/staging/load={load_id}"
     # Hashes already loaded by other loads; this load's own audit must not count when it is rerun.
     audit = read_audit(spark, f"{root}/audit").where(F.col("run_id") != f"load-{load_id}")
-    marked = skip_duplicate_files(archives, audit)
-    marked.select("source_file", "file_hash", "duplicate_of").write.mode("overwrite").parquet(f"{staging}/files")
+    # Hashes are taken once; duplicates are decided on the list of files, without their bytes.
+    archives = located(archives)
+    archives.select("path", "source_file", "file_hash").write.mode("overwrite").parquet(f"{staging}/listing")
+    marked = skip_duplicate_files(spark.read.parquet(f"{staging}/listing"), audit)
+    marked.write.mode("overwrite").parquet(f"{staging}/files")
     files = spark.read.parquet(f"{staging}/files")
-    fresh = archives.join(files.where("duplicate_of is null").select("source_file"), "source_file", "left_semi")
+    fresh = archives.join(files.where("duplicate_of is null").select("path"), "path", "left_semi")
     parse_pm_rows(expand_archives(fresh)).write.mode("overwrite").parquet(f"{staging}/records")
     parsed = spark.read.parquet(f"{staging}/records")
 
@@ -82,9 +127,10 @@ def ingest_batch(archives: DataFrame, root: str, *, load_id: int, processed_at:
     failed = spark.read.parquet(f"{staging}/failed")
 
     write_facts(unpivot_counters(good_rows(parsed, failed)), f"{root}/facts", load_id=load_id)
+    store_activity(Tables(pm_sample=_stored(spark, f"{root}/facts/load={load_id}", FACT_SCHEMA)), root, load_id=load_id)
     summary = ingest_summary(files, parsed, failed).select(
-        "*", F.lit(f"load-{load_id}").alias("run_id"), F.lit(trigger_type).alias("trigger_type"),
+        "*", F.col("path").alias("final_file_path"), F.lit(f"load-{load_id}").alias("run_id"), F.lit(trigger_type).alias("trigger_type"),
         F.lit(source_type).alias("source_type"), F.lit(processed_at).cast("timestamp_ntz").alias("processed_at"),
         F.lit("COMPLETED").alias("lifecycle_status"), F.lit("PENDING").alias("normalization_status"))
     empty = spark.createDataFrame([], AUDIT_SCHEMA)
-    empty.unionByName(summary, allowMissingColumns=True).write.mode("overwrite").parquet(f"{root}/audit/load={load_id}")
+    empty.unionByName(summary.drop("path"), allowMissingColumns=True).write.mode("overwrite").parquet(f"{root}/audit/load={load_id}")

@@ -12,8 +12,8 @@ from radiokpi.operators.kpi_results import latest_window
 from radiokpi.sources import archives as ar, facts as fa
 from radiokpi.streaming import jobs
 
-HEAD = "CollectTime,TRNCMEID,ANI,SBNID, eNBid ,ENODEBID,CellID,MEID,SYSTEMMODE,MIDFLAG,NETYPE,c1,C2,IGNORED,DETECTPORT\n"
-ROW = "{t},TR1,CELL_{n},41,1010,,{n},ME1,FDD,MID_A,ENODEB,12.5,,noop,1\n"
+HEAD = "MEID,CollectTime, eNBid ,CellID,c1,SBNID,ANI,ENODEBID,TRNCMEID,C2,Spare,SYSTEMMODE,MIDFLAG,NETYPE,DETECTPORT\n"
+ROW = "m7,{t},88,{n},3_000.25,6,west-{n},,t9,,?,TDD,flag,node,80\n"
 GOOD = "UMEID_ITBBU_LTEFDD_PM_COMMON_ZTE_20260304_1430.tar.gz"
 BAD = "UMEID_LTEFDD_PM_COMMON_ZTE_20260304_1430_R1.zip"
 
@@ -53,7 +53,7 @@ def load(spark, folder):
 def test_members_and_markers(spark, folder):
     rows = ar.expand_archives(load(spark, folder).where(F.col("source_file") == GOOD)).collect()
     assert [(r.csv_name, r.member_no, r.row_no) for r in rows] == [("a/one.CSV", 1, 0), ("a/one.CSV", 1, 1), ("a/one.CSV", 1, 2), ("two.csv", 2, 0)]
-    assert rows[1].row["COLLECTTIME"] == "20260304143000" and rows[1].row["ENBID"] == "1010" and rows[1].row["C1"] == "12.5"
+    assert rows[1].row["COLLECTTIME"] == "20260304143000" and rows[1].row["ENBID"] == "88" and rows[1].row["C1"] == "3_000.25"
 
 
 def test_later_equal_header_wins_and_short_rows_are_null(spark, tmp_path):
@@ -66,10 +66,10 @@ def test_unpivot(spark, folder):
     parsed = ar.parse_pm_rows(ar.expand_archives(load(spark, folder).where(F.col("source_file") == GOOD)))
     cells = ar.unpivot_counters(ar.good_rows(parsed)).orderBy("ani", "counter_id").collect()
     assert [(c.ani, c.counter_id, c.counter_value) for c in cells] == [
-        ("CELL_0", "C1", 12.5), ("CELL_0", "C2", None), ("CELL_1", "C1", 12.5), ("CELL_1", "C2", None)]
+        ("west-0", "C1", 3000.25), ("west-0", "C2", None), ("west-1", "C1", 3000.25), ("west-1", "C2", None)]
     first = cells[0]
     assert (first.dataset_family, first.interval_start, first.revision) == ("PM/itbbu/ltefdd", datetime(2026, 3, 4, 14, 30), 0)
-    assert (first.collect_time, first.enbid, first.enodebid, first.midflag) == (datetime(2026, 3, 4, 14, 30), "1010", None, "MID_A")
+    assert (first.collect_time, first.enbid, first.enodebid, first.midflag) == (datetime(2026, 3, 4, 14, 30), "88", None, "flag")
 
 
 def test_missing_time_column_fails_the_file(spark, tmp_path):
@@ -79,9 +79,9 @@ def test_missing_time_column_fails_the_file(spark, tmp_path):
 
 
 EXPECTED = {
-    GOOD: ("SUCCESS", 2, 2, 4, 4, 2, ["IGNORED"]),
+    GOOD: ("SUCCESS", 2, 2, 4, 4, 2, ["SPARE"]),
     "copy_of.tar.gz": ("SKIPPED_DUPLICATE", 0, 0, 0, 0, 0, []),
-    BAD: ("FAILED", 1, 2, 2, 0, 1, ["IGNORED"]),
+    BAD: ("FAILED", 1, 2, 2, 0, 1, ["SPARE"]),
     "broken.zip": ("FAILED", 0, 0, 0, 0, 0, []),
 }
 
@@ -134,7 +134,7 @@ def test_fact_table_prunes_partitions_and_counters(spark, folder, tmp_path_facto
     plan = narrow._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dataset_family" in plan and "EqualTo(counter_id,C1)" in plan
     assert "ReadSchema: struct<counter_id:string,counter_value:double>" in plan
-    assert [r.counter_value for r in narrow.collect()] == [12.5, 12.5]
+    assert [r.counter_value for r in narrow.collect()] == [3000.25, 3000.25]
     # The newest time is evaluated first and also bounds the partitions read.
     newest = latest_window(fa.read_facts(spark, f"{root}/facts"), "PM/itbbu/ltefdd")
     plan = newest._jdf.queryExecution().executedPlan().toString()
@@ -154,6 +154,67 @@ def test_large_group_of_copies_keeps_exactly_one(spark):
     assert {got[f"f{n:04d}"] for n in range(0, 900, 3) if n != 3} == {None}
 
 
+def one_cell(name, time="20260304143000"):
+    return {"a.csv": "COLLECTTIME,ANI,SBNID,C5\n" + f"{time},{name},3,7\n"}
+
+
+def statuses(spark, root):
+    return sorted((r.source_file, r.status, r.rows_inserted) for r in fa.read_audit(spark, f"{root}/audit").collect())
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    name = "UMEID_LTEFDD_PM_COMMON_ZTE_20260304_1430.zip"
+    for case, second in (("same bytes", one_cell("p")), ("one bad", one_cell("q", "later"))):
+        folder, root = tmp_path / case / "in", str(tmp_path / case / "out")
+        for part, members in (("a", one_cell("p")), ("b", second)):
+            (folder / part).mkdir(parents=True)
+            write_zip(folder / part / name, members)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(folder))
+        fa.ingest_batch(ar.archive_content(files), root, load_id=0, processed_at=datetime(2026, 3, 5))
+        other = ("SKIPPED_DUPLICATE", 0) if case == "same bytes" else ("FAILED", 0)
+        assert statuses(spark, root) == sorted([(name, "SUCCESS", 1), (name, *other)])
+        assert [r.ani for r in fa.read_loaded_facts(spark, root).collect()] == ["p"]
+
+
+def test_batch_and_stream_loads_share_a_root(spark, tmp_path):
+    root, one, two = str(tmp_path / "out"), tmp_path / "one", tmp_path / "two"
+    for folder, cell in ((one, "p"), (two, "q")):
+        folder.mkdir()
+        write_zip(folder / f"UMEID_LTEFDD_PM_COMMON_ZTE_20260304_1430_R{ord(cell)}.zip", one_cell(cell))
+    fa.ingest_batch(load(spark, one), root, load_id=0, processed_at=datetime(2026, 3, 5))
+    jobs.stream_ingest(jobs.archive_stream(spark, str(two)), root).awaitTermination()
+    assert sorted(r.ani for r in fa.read_loaded_facts(spark, root).collect()) == ["p", "q"]
+    assert len(statuses(spark, root)) == 2
+    counts = {n: f.agg(F.sum("row_count")).first()[0] for n, f in fa.read_activity(spark, root).items()}
+    assert counts == {"entity_activity": 2, "counter_activity": 2}
+
+
+def test_a_load_without_a_good_file_and_one_without_audit(spark, tmp_path):
+    root = str(tmp_path / "out")
+    assert fa.read_loaded_facts(spark, root).count() == 0
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "n.zip").write_bytes(b"nothing")
+    fa.ingest_batch(load(spark, tmp_path / "in"), root, load_id=0, processed_at=datetime(2026, 3, 5))
+    assert fa.read_facts(spark, f"{root}/facts").count() == 0
+    fact = spark.createDataFrame([("f", datetime(2026, 3, 4), "C1", 1.0)], "source_file string, collect_time timestamp_ntz, counter_id string, counter_value double")
+    whole = spark.createDataFrame([], fa.FACT_SCHEMA).drop("load", "collect_date").unionByName(fact, allowMissingColumns=True)
+    fa.write_facts(whole, f"{root}/facts", load_id=9)  # broke off before its audit
+    assert fa.read_facts(spark, f"{root}/facts").count() == 1 and fa.read_loaded_facts(spark, root).count() == 0
+
+
+def test_stream_intervals_are_complete(spark, tmp_path):
+    schema = "collect_time timestamp_ntz, dataset_family string, counter_id string, counter_value double"
+    hours = [[14, 20], [14], [20, 14], [23]]
+    source, root = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in hours:
+        rows = [(datetime(2026, 3, 4, h, 5), "F", "C1", float(h)) for h in batch]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.stream_intervals(spark.readStream.schema(schema).parquet(source), root).awaitTermination()
+    got = sorted(map(tuple, jobs.interval_totals(spark, root).collect()))
+    assert got == sorted(map(tuple, jobs.interval_statistics(spark.read.schema(schema).parquet(source)).collect()))
+    assert [(r[0].hour, r[3], r[4]) for r in got] == [(14, 3, 42.0), (20, 2, 40.0), (23, 1, 23.0)]
+
+
 def test_revisions_replace_across_batches(spark, tmp_path):
     schema = "dataset_family string, interval_start timestamp_ntz, revision int, counter_value double"
     t1, t2 = datetime(2026, 3, 4, 14, 30), datetime(2026, 3, 4, 14, 45)

@@ -17,9 +17,9 @@ def one(spark, rows, schema, column):
 
 
 def test_counter_text(spark):
-    texts = ["12.5", " 7 ", "", "  ", None, "noop", "1e3", "+.5", "-2.", "1d", "1f", "1_000", "0x10", "inf", "\t3\n"]
+    texts = ["12.5", " 7 ", "", "  ", None, "noop", "1e3", "+.5", "-2.", "1d", "1f", "1_000", "1__0", "_1", "0x10", "inf", "\t3\n"]
     values = one(spark, [(t,) for t in texts], "v string", counter_number("v"))
-    assert values == [12.5, 7.0, None, None, None, None, 1000.0, 0.5, -2.0, None, None, None, None, float("inf"), 3.0]
+    assert values == [12.5, 7.0, None, None, None, None, 1000.0, 0.5, -2.0, None, None, 1000.0, None, None, None, float("inf"), 3.0]
 
 
 def test_blank_to_null_strips_every_whitespace(spark):

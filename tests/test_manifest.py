@@ -15,12 +15,12 @@ def parsed(spark, *paths):
 
 def test_names(spark):
     got = parsed(
-        spark, "UMEID_ITBBU_LTEFDD_PM_COMMON_ZTE_20260305_1330_R1.tar.gz", "/x/UMEID_LTEFDD_PM_COMMON_ZTE_20260305_1345.zip",
+        spark, "UMEID_ITBBU_LTEFDD_PM_COMMON_ZTE_20250717_0915_R3.tar.gz", "/x/UMEID_LTEFDD_PM_COMMON_ZTE_20260305_1345.zip",
         "umeid_itbbu_itbbuplat_pm_common_zte_20260305_0000_r12.TAR.GZ", "UMEID_PM_COMMON_ZTE_20260305_1330.zip",
         "UMEID_LTEFDD_PM_COMMON_ZTE_99999999_0000.zip", "UMEID_LTEFDD_PM_COMMON_ZTE_20260305_1345.zip.bak", "notes.txt", "a|b|c|d")
     assert {p: (r.dataset_family, r.interval_start, r.revision, r.extension, r.filename) for p, r in got.items()} == {
-        "UMEID_ITBBU_LTEFDD_PM_COMMON_ZTE_20260305_1330_R1.tar.gz": (
-            ITBBU_CELL, datetime(2026, 3, 5, 13, 30), 1, "tar.gz", "UMEID_ITBBU_LTEFDD_PM_COMMON_ZTE_20260305_1330_R1.tar.gz"),
+        "UMEID_ITBBU_LTEFDD_PM_COMMON_ZTE_20250717_0915_R3.tar.gz": (
+            ITBBU_CELL, datetime(2025, 7, 17, 9, 15), 3, "tar.gz", "UMEID_ITBBU_LTEFDD_PM_COMMON_ZTE_20250717_0915_R3.tar.gz"),
         "/x/UMEID_LTEFDD_PM_COMMON_ZTE_20260305_1345.zip": (
             SDR_CELL, datetime(2026, 3, 5, 13, 45), 0, "zip", "UMEID_LTEFDD_PM_COMMON_ZTE_20260305_1345.zip"),
         "umeid_itbbu_itbbuplat_pm_common_zte_20260305_0000_r12.TAR.GZ": (
