@@ -35,3 +35,19 @@ def counter_activity(tables: Tables) -> DataFrame:
     return tables.pm_sample.groupBy(
         "dataset_family", "interval_start", "collect_time", "source_file", "counter_id",
     ).agg(*_counts())
+
+
+def rows_by_file_time(tables: Tables, files: DataFrame | None = None) -> DataFrame:
+    """Fact rows (row_count) per source file and collect time, for all files or those of ``files``.
+
+    A stored activity table has these counts and is restricted before it is read on. Facts
+    are counted first: the counts, not the facts, then meet the list of files.
+    """
+    stored = "counter_activity" in tables
+    rows = tables["counter_activity"] if stored else tables.pm_sample.select("source_file", "collect_time", F.lit(1).alias("row_count"))
+
+    def listed(frame: DataFrame) -> DataFrame:
+        return frame if files is None else frame.join(files.select("source_file"), "source_file", "left_semi")
+
+    counted = (listed(rows) if stored else rows).groupBy("source_file", "collect_time").agg(F.sum("row_count").alias("row_count"))
+    return counted if stored else listed(counted)

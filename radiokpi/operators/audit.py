@@ -7,23 +7,23 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from radiokpi.functions import page
+from radiokpi.operators.activity import rows_by_file_time
 from radiokpi.tables import Tables
 
 # Fixed value: message of a lifecycle that could not be confirmed.
 MISSING_FILE = "Legacy lifecycle backfill could not confirm final file on disk."
 
 
-def _raw_by_file(tables: Tables) -> DataFrame:
+def _raw_by_file(tables: Tables, files: DataFrame) -> DataFrame:
     """Rows and times per file; reduced per (file, time) first, so the distinct count is a plain count."""
-    per_time = tables.pm_sample.groupBy("source_file", "collect_time").agg(F.count("*").alias("n"))
-    return per_time.groupBy("source_file").agg(
-        F.sum("n").alias("raw_row_count"), F.count("*").alias("distinct_collect_times"),
+    return rows_by_file_time(tables, files).groupBy("source_file").agg(
+        F.sum("row_count").alias("raw_row_count"), F.count("*").alias("distinct_collect_times"),
         F.min("collect_time").alias("min_collect_time"), F.max("collect_time").alias("max_collect_time"))
 
 
 def file_ingest_observability(tables: Tables) -> DataFrame:
     """A17. Raw rows are matched by file name, so a later file of the same name shows the same rows."""
-    joined = tables.file_audit.join(_raw_by_file(tables), "source_file", "left")
+    joined = tables.file_audit.join(_raw_by_file(tables, tables.file_audit), "source_file", "left")
     return joined.select(
         "source_file", "file_hash", "run_id", "trigger_type", "source_type", "processed_at", "status",
         "csv_files_found", "input_rows_read", "normalized_rows_emitted", "rows_inserted",
@@ -76,7 +76,7 @@ def _listed(tables: Tables) -> DataFrame:
 def reconcile_ingest_files(tables: Tables, *, limit: int | None = None) -> DataFrame:
     """Audited files with at least one mismatch between audit, facts and storage."""
     audits = recent_for_reconciliation(tables, limit=limit)
-    counts = tables.pm_sample.groupBy("source_file").agg(F.count("*").alias("_raw"))
+    counts = _raw_by_file(tables, audits).select("source_file", F.col("raw_row_count").alias("_raw"))
     joined = audits.join(counts, "source_file", "left").join(_listed(tables), "final_file_path", "left")
     path, raw = F.nullif("final_file_path", F.lit("")), F.coalesce("_raw", F.lit(0))
     status = F.col("status")

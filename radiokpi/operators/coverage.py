@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from radiokpi.functions import first_per, page
 from radiokpi.functions.columns import percent_of
-from radiokpi.operators.activity import counter_activity, entity_activity
+from radiokpi.operators.activity import counter_activity, entity_activity, rows_by_file_time
 from radiokpi.operators.entities import SHAPE, keyed_facts, with_level
 from radiokpi.schemas import CELL_FAMILIES
 from radiokpi.tables import Tables
@@ -257,9 +257,8 @@ def distinct_cells(tables: Tables, *, limit: int | None = None) -> DataFrame:
 
 
 def rows_by_source_files(tables: Tables, source_files: DataFrame) -> DataFrame:
-    """Fact rows per file of ``source_files`` (column source_file); counted first, then restricted."""
-    counts = tables.pm_sample.groupBy("source_file").agg(F.count("*").alias("row_count"))
-    return counts.join(source_files.select("source_file"), "source_file", "left_semi")
+    """Fact rows per file of ``source_files`` (column source_file)."""
+    return rows_by_file_time(tables, source_files).groupBy("source_file").agg(F.sum("row_count").alias("row_count"))
 
 
 def recent_facts(tables: Tables, *, limit: int) -> DataFrame:

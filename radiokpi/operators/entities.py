@@ -73,19 +73,21 @@ def sync_entities(tables: Tables) -> DataFrame:
 
     An entity may have several raw shapes; the smallest one represents it, so the
     result does not depend on row order. Entities without a family are left out.
+    Facts are counted per shape in a hash aggregate of its own: without the count Spark
+    would merge it with the choice of the smallest shape, which sorts what it reads.
     """
     dims = SHAPE[1:]
-    seen = distinct_entities(tables).where("dataset_family is not null")
+    shapes = tables.pm_sample.where("dataset_family is not null").groupBy(*SHAPE).agg(F.count("*").alias("_rows"))
+    seen = shapes.withColumns({"logical_entity_key": logical_entity_key(), "entity_level": entity_level()})
     seen = seen.groupBy("logical_entity_key", "dataset_family", "entity_level").agg(
-        F.min(F.struct(*[F.struct(F.col(c).isNull().alias("absent"), F.col(c).alias("value")).alias(c)
+        F.sum("_rows").alias("_rows"), F.min(F.struct(*[F.struct(F.col(c).isNull().alias("absent"), F.col(c).alias("value")).alias(c)
                          for c in dims])).alias("shape"))
-    incoming = seen.select(
+    incoming = seen.where("_rows > 0").select(
         "logical_entity_key", "dataset_family", *[F.col("shape")[c]["value"].alias(c) for c in dims], "entity_level")
-    known = tables.entity_identity
-    notes = known.select("logical_entity_key", "notes")
-    refreshed = incoming.join(notes, "logical_entity_key", "left")
-    untouched = known.join(incoming.select("logical_entity_key"), "logical_entity_key", "left_anti")
-    return untouched.select(*refreshed.columns).unionByName(refreshed)
+    taken = [c for c in incoming.columns if c != "logical_entity_key"]
+    fresh = incoming.select("logical_entity_key", F.lit(True).alias("_fresh"), *[F.col(c).alias(f"_{c}") for c in taken])
+    merged = tables.entity_identity.join(fresh, "logical_entity_key", "full_outer")
+    return merged.select("logical_entity_key", *[F.when(F.col("_fresh"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in taken], "notes")
 
 
 def entity_identity_list(tables: Tables, *, limit: int | None = None) -> DataFrame:

@@ -121,13 +121,13 @@ def resolved(specs: DataFrame) -> tuple[DataFrame, list[str] | None]:
 
     A definition names a handful of counters. Spark takes the estimated size of a join of
     dimension tables for the product of their sizes and would shuffle all facts to meet it;
-    rows that are at hand have a known size. At most ``RESOLVED`` + 1 small rows are read; if
-    there are more, ``specs`` comes back as it is, without ids.
+    rows that are at hand are counted and broadcast. At most ``RESOLVED`` + 1 small rows are
+    read; if there are more, ``specs`` comes back as it is, without ids.
     """
     rows = specs.limit(RESOLVED + 1).collect()
     if len(rows) > RESOLVED:
         return specs, None
-    return specs.sparkSession.createDataFrame(rows, specs.schema), sorted({r["counter_id"] for r in rows})
+    return F.broadcast(specs.sparkSession.createDataFrame(rows, specs.schema)), sorted({r["counter_id"] for r in rows})
 
 
 def facts_of(facts: DataFrame, counter_ids: list[str] | None) -> DataFrame:
