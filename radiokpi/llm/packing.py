@@ -12,8 +12,10 @@ no rows give no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,42 +28,83 @@ TOKENIZER = "word_bpe_49k.json"
 SPLITS = 64
 ROUNDS = 150
 # Words kept with their ids by one worker, and the longest word kept.
-CACHE = 200_000
+CACHE = 400_000
 LONGEST = 64
+# Below this code point lower case maps single characters to single characters and composition changes nothing.
+PLAIN = "\u0130"
+# How the tokenizer's file splits lower-cased text.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+END = "</w>"
 
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.
 
-    The tokenizer never joins characters across white space, so each word between white space is encoded once and
-    remembered. Only ASCII blanks split here; other white space stays inside a chunk and is left to the tokenizer.
+    The tokenizer treats each piece of its split on its own and never joins characters across white space. So
+    white-space chunks and their pieces are remembered with their ids, and only new pieces go to the tokenizer, many
+    in one string: the last id of a piece is an end-of-word token, which tells where the next begins. Texts with
+    characters beyond ``PLAIN`` or with what may be a special token keep their case, and their chunks go to the
+    tokenizer as they are.
     """
 
     def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            known = self.known
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            missing = [w for w in dict.fromkeys(words) if w not in known]
-            if missing:
-                if len(known) > CACHE:
-                    known.clear()
-                    missing = list(dict.fromkeys(words))
-                long = {}
-                for w, ids in zip(missing, self._ids(missing)):
-                    (known if len(w) <= LONGEST else long)[w] = ids
-                if long:
-                    yield b"".join([known[w] if w in known else long[w] for w in words])
-                    continue
-            yield b"".join([known[w] for w in words])
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(END)]] = True
+        self.split = regex.compile(SPLIT).findall
+        self.beyond = re.compile(f"[{PLAIN}-\U0010ffff]").search
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _new_pieces(self, pieces: list[str]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(pieces):
+            raw, at = ids.tobytes(), 0
+            for piece, cut in zip(pieces, (4 * cuts).tolist()):
+                self.pieces[piece] = raw[at:cut]
+                at = cut
+        else:
+            self.pieces.update(zip(pieces, self._each(pieces)))
+
+    def encode(self, text: str) -> bytes:
+        plain = "<|" not in text and not self.beyond(text)
+        words = (text.lower() if plain else text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        known = self.chunks if plain else {}
+        missing = list(set(words).difference(known))
+        if missing and not plain:
+            known.update(zip(missing, self._each(missing)))
+        elif missing:
+            parts = [self.split(w) for w in missing]
+            new = list(set().union(*parts).difference(self.pieces))
+            if new:
+                self._new_pieces(new)
+            found = {w: b"".join([self.pieces[p] for p in some]) for w, some in zip(missing, parts)}
+            if max(map(len, missing)) > LONGEST:  # long chunks are not kept
+                whole = {w: found[w] if w in found else known[w] for w in words}
+                found = {w: ids for w, ids in found.items() if len(w) <= LONGEST}
+            else:
+                whole = known
+            known.update(found)
+            known = whole
+        ids = b"".join(map(known.__getitem__, words))
+        for kept in (self.chunks, self.pieces):
+            if len(kept) > CACHE:
+                kept.clear()
+        return ids
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder for a worker process, so that tasks that follow each other share what it remembers."""
+    return Encoder(path)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -78,11 +121,11 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path)
+        encode = encoder(path).encode
         for batch in batches:
             found = [[], [], [], [], []]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                ids += b"\0\0\0\0"
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = encode(text) + b"\0\0\0\0"
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     for column, value in zip(found, (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))):
