@@ -149,7 +149,7 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     sample = labelled_sample(docs, labels, "quality", rows)
     got = sample.select("doc_id", F.encode("text", "UTF-8").alias("text"), "label").mapInArrow(run, "doc_id long, found binary, label int").collect()
     got.sort(key=lambda r: r[0])
-    return fit([np.frombuffer(bytes(r[1]), "<i4") for r in got], np.array([r[2] for r in got], np.int64))
+    return fit([np.frombuffer(r[1], "<i4") for r in got], np.array([r[2] for r in got], np.int64))
 
 
 def score_column(spark: SparkSession, model: Model, text: str = "text") -> Column:
