@@ -1,0 +1,67 @@
+"""Keyed tables on storage: an upsert's result becomes the next version of a table.
+
+A version is a folder of its own, written before anything names it; which version holds is said by marker files with
+ascending numbers, the highest counting. A marker is created only where none of its number exists, so of two writers
+that started from one version the second fails instead of undoing the first. Readers keep the version they opened.
+A job that breaks off before its marker leaves the table as it was.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from radiokpi.tables import Tables
+
+
+class TableStore:
+    """Versioned tables below ``folder``, which all executors must reach."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _markers(self, name: str) -> list[str]:
+        path, files = self._path(f"{name}/current")
+        return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+
+    def names(self) -> list[str]:
+        path, files = self._path("")
+        return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+
+    def version(self, name: str) -> int:
+        """Number of the version that holds; 0 before the first."""
+        markers = self._markers(name)
+        return int(markers[-1].split("-", 1)[0]) if markers else 0
+
+    def read(self, name: str) -> DataFrame:
+        markers = self._markers(name)
+        if not markers:
+            raise KeyError(name)
+        return self.spark.read.parquet(f"{self.folder}/{name}/data/{markers[-1].split('-', 1)[1]}")
+
+    def tables(self, *names: str) -> Tables:
+        return Tables({name: self.read(name) for name in names or self.names()})
+
+    def write(self, name: str, frame: DataFrame, *, after: int | None = None) -> None:
+        """Makes ``frame`` the next version; it may be built from the version that holds.
+
+        ``after``: the version the frame was built from, by default the one that holds now.
+        """
+        number = (self.version(name) if after is None else after) + 1
+        made = uuid.uuid4().hex
+        frame.write.parquet(f"{self.folder}/{name}/data/{made}")
+        if self.version(name) >= number:
+            raise RuntimeError(f"table {name} has changed since version {number - 1}")
+        path, files = self._path(f"{name}/current/{number:012d}-{made}")
+        files.create(path, False).close()
+
+    def write_all(self, tables: Tables, *names: str) -> None:
+        """Stores several tables, read from one set of versions, each as its next version."""
+        before = {name: self.version(name) for name in names}
+        for name in names:
+            self.write(name, tables[name], after=before[name])

@@ -1,0 +1,68 @@
+"""Stored versions of keyed tables and one ingest cycle over them."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from radiokpi.operators.merging import upsert_reference
+from radiokpi.sources import archives as ar, facts as fa
+from radiokpi.sources.cycle import ingest_cycle
+from radiokpi.sources.store import TableStore
+from radiokpi.tables import Tables
+from tests.test_archives import one_cell, write_zip
+
+SITE = "site_code string, site_name string, region_code string, notes string"
+NOW = datetime(2026, 3, 5)
+
+
+def test_versions_follow_each_other(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"))
+    assert store.names() == [] and store.version("topo_site") == 0
+    with pytest.raises(KeyError):
+        store.read("topo_site")
+    store.write("topo_site", spark.createDataFrame([("s1", "one", None, None), ("s2", "two", None, None)], SITE))
+    opened = store.read("topo_site")
+    seeds = spark.createDataFrame([("s2", "second", None, None, 1), ("s3", "three", None, None, 2)], SITE + ", line_no long")
+    store.write_all(upsert_reference(store.tables(), name="topo_site", rows=seeds), "topo_site")
+    assert sorted((r[0], r[1]) for r in store.read("topo_site").collect()) == [("s1", "one"), ("s2", "second"), ("s3", "three")]
+    assert opened.count() == 2 and store.version("topo_site") == 2
+    with pytest.raises(RuntimeError, match="has changed"):
+        store.write("topo_site", opened, after=1)
+    assert store.read("topo_site").count() == 3
+
+
+REGISTRY = """id long, source_name string, remote_directory string, remote_filename string, remote_path string, dataset_family string,
+    interval_start timestamp_ntz, revision int, extension string, remote_size_bytes long, remote_modified_at timestamp_ntz, status string,
+    download_attempt_count int, ingest_attempt_count int, last_download_attempt_at timestamp_ntz, last_ingest_attempt_at timestamp_ntz,
+    download_attempts int, local_staged_path string, file_hash string, ingest_run_id string, final_file_path string, last_error string,
+    first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, last_scan_at timestamp_ntz, status_updated_at timestamp_ntz,
+    updated_at timestamp_ntz, created_at timestamp_ntz"""
+IDENTITY = ("logical_entity_key string, dataset_family string, sbnid string, enbid string, enodebid string, cellid string, meid string, "
+            "ani string, entity_level string, notes string")
+
+
+def test_a_cycle_from_listing_to_summary(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    names = [f"UMEID_LTEFDD_PM_COMMON_ZTE_20260304_{t}.zip" for t in ("1430", "1445", "1500")]
+    for name, members in zip(names, (one_cell("p"), one_cell("p"), one_cell("q", "later"))):
+        write_zip(folder / name, members)
+    archives = ar.archive_content(spark.read.format("binaryFile").load(str(folder)))
+    listing = spark.createDataFrame([(f"/r/{n}", "/r", n, "PM/sdr/ltefdd", datetime(2026, 3, 4, 14, 30), 0, "zip", 10, NOW) for n in names], """
+        remote_path string, remote_directory string, remote_filename string, dataset_family string, interval_start timestamp_ntz, revision int,
+        extension string, remote_size_bytes long, remote_modified_at timestamp_ntz""")
+    store = TableStore(spark, str(tmp_path / "store"))
+    for name, schema in (("file_registry", REGISTRY), ("file_audit", fa.AUDIT_SCHEMA), ("entity_identity", IDENTITY)):
+        store.write(name, spark.createDataFrame([], schema))
+    run = lambda: ingest_cycle(store, listing, archives, load_id="1", source_name="src", now=NOW).first()
+    for _ in range(2):  # as after a crash: the same load again changes nothing but the attempts
+        counts = run()
+        assert (counts["scanned"], counts["ingested"], counts["skipped_duplicates"], counts["failed_ingests"]) == (3, 1, 1, 1)
+        status = {r.remote_filename: r.status for r in store.read("file_registry").collect()}
+        assert status == dict(zip(names, ("INGESTED", "SKIPPED_DUPLICATE", "FAILED_INGEST")))
+        marks = {r.source_file: r.normalization_status for r in store.read("file_audit").where("status = 'SUCCESS'").collect()}
+        assert marks == {names[0]: "COMPLETED"}
+        assert [r.ani for r in store.read("entity_identity").collect()] == ["p"]
+    assert store.read("file_audit").count() == 3
+    assert isinstance(store.tables(), Tables) and store.read("file_registry").agg(F.max("ingest_attempt_count")).first()[0] == 2
