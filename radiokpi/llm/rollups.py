@@ -21,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from radiokpi.llm.common import WORD, documents, text_of
+from radiokpi.llm.common import WORD, documents, staged, text_of
 from radiokpi.tables import shared_folder
 
 ENTRY = ("doc_id", "source", "lang", "tokenizer", "tokens")
@@ -115,8 +115,10 @@ def op9_token_rollup(spark: SparkSession, directory: str) -> DataFrame:
     copies = digest.join(digest.groupBy("h").agg(F.min("doc_id").alias("first")), "h").where("doc_id > first")
     for _ in range(2):
         rollup.apply("0002", changes(copies, "delete", WORDS))
-    kept = rollup.live().select("doc_id")
-    rollup.apply("0003", changes(docs.join(kept, "doc_id", "left_semi"), "revise", PIECES))
+    # Counts are stored before they meet the ids that are left: texts are not shuffled for it.
+    counted = staged(changes(docs, "revise", PIECES), "counted")
+    kept = rollup.live().select(F.col("doc_id").alias("kept"))
+    rollup.apply("0003", counted.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi"))
     return rollup.totals()
 
 
