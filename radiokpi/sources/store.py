@@ -1,15 +1,16 @@
 """Keyed tables on storage: an upsert's result becomes the next version of a table.
 
-A version is a folder of its own, written before anything names it; which version holds is said by marker files with
-ascending numbers, the highest counting. A marker is created only where none of its number exists, so of two writers
-that started from one version the second fails instead of undoing the first. Readers keep the version they opened.
-A job that breaks off before its marker leaves the table as it was.
+A version is a folder of its own, written below another name and then renamed to its number; the highest number holds.
+The rename never replaces a version, so of two writers that started from one version the second fails instead of
+undoing the first. Readers keep the version they opened. A job that breaks off before the rename leaves the table as
+it was.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from radiokpi.tables import Tables
@@ -25,8 +26,8 @@ class TableStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _markers(self, name: str) -> list[str]:
-        path, files = self._path(f"{name}/current")
+    def _versions(self, name: str) -> list[str]:
+        path, files = self._path(f"{name}/versions")
         return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
 
     def names(self) -> list[str]:
@@ -35,14 +36,14 @@ class TableStore:
 
     def version(self, name: str) -> int:
         """Number of the version that holds; 0 before the first."""
-        markers = self._markers(name)
-        return int(markers[-1].split("-", 1)[0]) if markers else 0
+        versions = self._versions(name)
+        return int(versions[-1]) if versions else 0
 
     def read(self, name: str) -> DataFrame:
-        markers = self._markers(name)
-        if not markers:
+        versions = self._versions(name)
+        if not versions:
             raise KeyError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}/data/{markers[-1].split('-', 1)[1]}")
+        return self.spark.read.parquet(f"{self.folder}/{name}/versions/{versions[-1]}")
 
     def tables(self, *names: str) -> Tables:
         return Tables({name: self.read(name) for name in names or self.names()})
@@ -53,12 +54,24 @@ class TableStore:
         ``after``: the version the frame was built from, by default the one that holds now.
         """
         number = (self.version(name) if after is None else after) + 1
-        made = uuid.uuid4().hex
-        frame.write.parquet(f"{self.folder}/{name}/data/{made}")
-        if self.version(name) >= number:
+        made, _ = self._path(f"{name}/data/{uuid.uuid4().hex}")
+        frame.write.parquet(made.toString())
+        if self.version(name) >= number or not self._renamed(made, f"{name}/versions/{number:012d}"):
             raise RuntimeError(f"table {name} has changed since version {number - 1}")
-        path, files = self._path(f"{name}/current/{number:012d}-{made}")
-        files.create(path, False).close()
+
+    def _renamed(self, made, name: str) -> bool:
+        """Whether ``made`` could become ``name``, which must not exist."""
+        path, files = self._path(name)
+        files.mkdirs(path.getParent())
+        jvm = self.spark._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration())
+        try:
+            context.rename(made, path, self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError as error:
+            if files.exists(path) and files.exists(made):
+                return False
+            raise error
+        return True
 
     def write_all(self, tables: Tables, *names: str) -> None:
         """Stores several tables, read from one set of versions, each as its next version."""

@@ -32,6 +32,16 @@ def test_versions_follow_each_other(spark, tmp_path):
     assert store.read("topo_site").count() == 3
 
 
+def test_of_two_writers_past_the_check_one_fails(spark, tmp_path, monkeypatch):
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.write("topo_site", spark.createDataFrame([("s1", "one", None, None)], SITE))
+    monkeypatch.setattr(TableStore, "version", lambda self, name: 1)  # what both saw
+    store.write("topo_site", spark.createDataFrame([("s2", "first", None, None)], SITE))
+    with pytest.raises(RuntimeError, match="has changed"):
+        store.write("topo_site", spark.createDataFrame([("s3", "second", None, None)], SITE))
+    assert [r[1] for r in store.read("topo_site").collect()] == ["first"]
+
+
 REGISTRY = """id long, source_name string, remote_directory string, remote_filename string, remote_path string, dataset_family string,
     interval_start timestamp_ntz, revision int, extension string, remote_size_bytes long, remote_modified_at timestamp_ntz, status string,
     download_attempt_count int, ingest_attempt_count int, last_download_attempt_at timestamp_ntz, last_ingest_attempt_at timestamp_ntz,
