@@ -1,16 +1,17 @@
 """Phrase collocations from depth-truncated suffix trees, built group by group (vertical partitioning).
 
 Every word starts a suffix that ends with its piece of text or after ``DEPTH`` words. Equal suffixes of a stretch of
-documents are counted together before they move and stored once. Vertical partitioning starts from one-word
-prefixes: a prefix under which more suffix rows lie than the memory budget allows is extended by a word, again up to
-the full depth. Prefixes are dealt to bins by hash, and neighbouring bins are joined to groups up to the budget. Each
-group is one partition: its suffixes are sorted and its subtree is read off in one pass, comparing each suffix with
-the one before, so that a task holds one batch of them whatever the budget. A node's count is the total of the leaves
-below it; nodes above an extended prefix lie in several groups and their parts add up.
-
-The budget is ``BUDGET`` suffix rows, or the share of one of ``BINS`` bins where the corpus is so large that there
-would be more groups than bins. So there are at most ``BINS`` extended prefixes of each length and ``BINS`` bins,
-which is what is broadcast.
+documents are counted together and stored, with the stretch's own words, as compressed runs of numbers. Vertical
+partitioning starts from one-word prefixes: a prefix under which more suffix rows lie than the memory budget allows is
+extended by a word, again up to the full depth. Prefixes are dealt to bins by hash, and neighbouring bins are joined to
+groups up to the budget. Each group is one task, which holds its suffixes, sorts them and reads its subtree off: nodes
+are where sorted suffixes branch, and a node's count is the total of the leaves below it. Nodes above an extended prefix
+lie in several groups and their parts add up.
+
+The budget is ``BUDGET`` suffix rows, or the share of one of ``BINS`` bins where the corpus is so large that there would
+be more groups than bins. So there are at most ``BINS`` extended prefixes of each length and ``BINS`` bins, which is
+what the driver sees and hands out. Suffixes meet by hashes of their prefixes, which only decide where they are counted;
+counts are of the words themselves.
 
 Defined results: null text counts as empty; null lang is ``und``; documents without words add nothing; repeated rows
 count as often as they stand there; no rows give no rows; extra columns are not read; ties in score and count fall to
@@ -23,8 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from radiokpi.llm.common import documents, staged, text_of
 
@@ -34,7 +35,7 @@ TOP = 2000
 UNKNOWN = "und"
 # Suffix rows in a group, and bins that prefixes are dealt to.
 BUDGET = 1_500_000
-BINS = 1 << 16
+BINS = 1 << 20
 # Bytes of text split at once, and suffixes counted together before they are handed on.
 SLICE = 1 << 22
 STRETCH = 1 << 22
@@ -46,6 +47,8 @@ RANKED = 200_000
 END = b"."
 MARKS = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\t", END * 10 + b" ")
 WORDS = [f"w{k + 1}" for k in range(DEPTH)]
+RUN = "lang string, size long, letters long, words binary, numbers binary"
+CODEC = pa.Codec("zstd")
 
 
 def slices(text: bytes) -> Iterator[tuple[list[bytes], int]]:
@@ -67,6 +70,30 @@ def slices(text: bytes) -> Iterator[tuple[list[bytes], int]]:
         at = end
 
 
+# --- runs of suffixes -----------------------------------------------------------------------
+
+def packed(lang: str, words: list[bytes], columns: list[np.ndarray], n: np.ndarray) -> tuple:
+    """A run: suffixes as numbers of ``words`` (0: none; the first word has number 1) with their counts, compressed."""
+    joined = b" ".join(words)
+    # Bytes of equal weight lie together, which is what compresses.
+    planes = [np.ascontiguousarray(c, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for c in (*columns, n)]
+    return lang, len(n), len(joined), CODEC.compress(joined, asbytes=True), CODEC.compress(b"".join(planes), asbytes=True)
+
+
+def unpacked(size: int, letters: int, words: bytes, numbers: bytes) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+    held = CODEC.decompress(words, letters, asbytes=True).split(b" ") if letters else []
+    planes = np.frombuffer(CODEC.decompress(numbers, 4 * size * (DEPTH + 1), asbytes=True), np.uint8).reshape(DEPTH + 1, 4, size)
+    columns = [np.ascontiguousarray(p.T).view("<u4")[:, 0].astype(np.int64) for p in planes]
+    return held, columns[:DEPTH], columns[DEPTH]
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.record_batch([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields)], names=[name for name, _ in fields])
+
+
 class Numbers(dict):
     """Words to numbers from 1; 0 is the end of a piece."""
 
@@ -76,19 +103,17 @@ class Numbers(dict):
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) batches to (lang, w1, w2, w3, n): truncated suffixes of a stretch with their counts."""
+    """(lang, text) batches to runs: truncated suffixes of a stretch with their counts."""
     numbers, keys, pending = Numbers({END: 0}), {}, 0
 
-    def made() -> Iterator[pa.RecordBatch]:
-        words = pa.array(list(numbers), pa.binary())
-        words = pa.concat_arrays([pa.array([b""], pa.binary()), words.slice(1)]).cast(pa.string())
+    def made() -> pa.RecordBatch:
+        rows, words = [], list(numbers)[1:]
         for lang, parts in keys.items():
             codes, n = np.unique(np.concatenate(parts), return_counts=True)
-            for at in range(0, len(codes), 1 << 16):
-                some = codes[at:at + (1 << 16)]
-                columns = [words.take(pa.array(some >> (WORD_BITS * (DEPTH - 1 - k)) & (1 << WORD_BITS) - 1)) for k in range(DEPTH)]
-                yield pa.record_batch([pa.array([lang], pa.string()).take(pa.array(np.zeros(len(some), np.int64))), *columns,
-                                       pa.array(n[at:at + (1 << 16)])], names=["lang", *WORDS, "n"])
+            if len(codes):
+                columns = [codes >> (WORD_BITS * (DEPTH - 1 - k)) & (1 << WORD_BITS) - 1 for k in range(DEPTH)]
+                rows.append(part_of(lang, words, columns, n, slice(None)))
+        return batch_of(rows, RUN)
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
@@ -102,97 +127,192 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.setdefault(lang, []).append(code[ids[:starts] > 0])
                 pending += starts
                 if pending > STRETCH or len(numbers) > (1 << WORD_BITS - 1):
-                    yield from made()
+                    yield made()
                     numbers, keys, pending = Numbers({END: 0}), {}, 0
-    yield from made()
+    yield made()
+
+
+def part_of(lang: str, words: list[bytes], columns: list[np.ndarray], n: np.ndarray, rows) -> tuple:
+    """The run of some rows of another, with the words that these hold."""
+    columns = [c[rows] for c in columns]
+    used = np.unique(np.concatenate([*columns, [0]]))
+    return packed(lang, [words[k - 1] for k in used[1:].tolist()], [np.searchsorted(used, c) for c in columns], n[rows])
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(lang, w1, w2, w3, n): suffixes of all texts, the same one in several rows. Missing words are empty."""
+    """Runs of the suffixes of all texts; a suffix stands in several of them."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang")
-    schema = ", ".join(["lang string", *(f"{w} string" for w in WORDS), "n long"])
-    return docs.select(lang, text_of().alias("text")).mapInArrow(counted, schema)
+    return docs.select(lang, text_of().alias("text")).mapInArrow(counted, RUN)
+
+
+# --- vertical partitioning ------------------------------------------------------------------
 
+def prefix_hashes(lang: str, words: list[bytes], columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the prefixes of one to DEPTH words of every suffix."""
+    seed = xxhash.xxh64_intdigest(lang.encode())
+    own = np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words)], np.uint64)
+    out, h = [], np.zeros(len(columns[0]), np.uint64)
+    for column in columns:
+        h = (h ^ own[column]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        out.append(h)
+    return out
 
-def bin_of(length: int) -> Column:
-    return F.pmod(F.xxhash64("lang", *WORDS[:length]), F.lit(BINS)).cast("int")
 
+def prefix_lengths(hashes: list[np.ndarray], heavy: list[np.ndarray]) -> np.ndarray:
+    """Words of the prefix that decides on the group; ``heavy``: sorted hashes of extended prefixes by length."""
+    length = np.ones(len(hashes[0]), np.int64)
+    for k, extended in enumerate(heavy):
+        length += (length == k + 1) & np.isin(hashes[k], extended)
+    return length
 
-def partitioned(leaves: DataFrame, least: int = BUDGET) -> tuple[DataFrame, int, DataFrame]:
-    """``leaves`` with the length of their prefix and their group, the number of groups, and words with their counts."""
-    words = staged(leaves.groupBy("lang", "w1").agg(F.count("*").alias("rows"), F.sum("n").alias("n")), "words")
-    total = words.agg(F.sum("rows")).first()[0] or 0
+
+def weights(runs: DataFrame, heavy: list[np.ndarray]) -> DataFrame:
+    """(h, rows): suffix rows by prefix, of the prefixes that extend those of ``heavy``, all of one length."""
+    depth = len(heavy)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, *held in zip(*(c.to_pylist() for c in batch.columns)):
+                words, columns, _ = unpacked(*held)
+                hashes = prefix_hashes(lang, words, columns)
+                chosen = hashes[depth][prefix_lengths(hashes, heavy) > depth] if depth else hashes[0]
+                h, rows = np.unique(chosen, return_counts=True)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(rows)], names=["h", "rows"])
+
+    return runs.mapInArrow(run, "h long, rows long").groupBy("h").agg(F.sum("rows").alias("rows"))
+
+
+def partition(runs: DataFrame, least: int = BUDGET) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of extended prefixes by length, and the group of each bin."""
+    here = staged(weights(runs, []), "prefixes")
+    total = here.agg(F.sum("rows")).first()[0] or 0
     budget = max(least, -(-total // BINS))
-    dealt = leaves.withColumn("length", F.lit(1))
-    here, settled = words, []
-    for length in range(1, DEPTH + 1):
-        heavy = here.where(F.col("rows") > budget).select("lang", *WORDS[:length])
-        if length == DEPTH or heavy.isEmpty():
-            settled.append(here.select(bin_of(length).alias("bin"), "rows"))
+    heavy, weight = [], np.zeros(BINS, np.int64)
+    while True:
+        whole = here
+        if len(heavy) < DEPTH - 1:
+            # Fewer than BINS prefixes can be heavier than a bin's share of all rows.
+            found = np.sort(np.array([r[0] for r in here.where(F.col("rows") > budget).select("h").collect()], np.int64).view(np.uint64))
+            whole = here.where(F.col("rows") <= budget)
+        else:
+            found = np.zeros(0, np.uint64)
+        bins = whole.groupBy(F.shiftrightunsigned("h", 64 - (BINS - 1).bit_length()).cast("int").alias("bin"))
+        for row in bins.agg(F.sum("rows")).toLocalIterator():  # at most BINS rows
+            weight[row[0]] += row[1]
+        if not len(found):
             break
-        settled.append(here.where(F.col("rows") <= budget).select(bin_of(length).alias("bin"), "rows"))
-        # The hint is safe: fewer than BINS prefixes can be heavier than a bin's share of all rows.
-        mark = F.broadcast(heavy.withColumn("extended", F.lit(1)))
-        dealt = dealt.join(mark, ["lang", *WORDS[:length]], "left")
-        dealt = dealt.withColumn("length", F.col("length") + F.coalesce("extended", F.lit(0))).drop("extended")
-        here = staged(dealt.where(F.col("length") > length).groupBy("lang", *WORDS[:length + 1])
-                      .agg(F.count("*").alias("rows")), f"prefixes{length}")
-    weights = settled[0]
-    for more in settled[1:]:
-        weights = weights.union(more)
-    weight = np.zeros(BINS, np.int64)
-    for row in weights.groupBy("bin").agg(F.sum("rows")).collect():  # at most BINS rows
-        weight[row[0]] = row[1]
-    group = np.cumsum(weight) // budget
-    group = np.unique(group, return_inverse=True)[1]
-    spark = leaves.sparkSession
-    table = spark.createDataFrame([(int(b), int(group[b])) for b in np.flatnonzero(weight)], "bin int, group int")
-    key = F.expr("CASE length " + " ".join(f"WHEN {k} THEN b{k}" for k in range(1, DEPTH + 1)) + " END")
-    dealt = dealt.withColumns({f"b{k}": bin_of(k) for k in range(1, DEPTH + 1)}).withColumn("bin", key)
-    grouped = dealt.join(F.broadcast(table), "bin").select("lang", *WORDS, "n", "length", "group")
-    return grouped, int(group.max()) + 1 if total else 1, words
-
-
-def subtrees(least: int):
-    """A reader of sorted suffixes that gives the nodes (lang, w1, w2, w3, f) of their tree.
-
-    Nodes that go on before or after a batch, and those above an extended prefix, come in parts; whole nodes below
-    ``least`` are left out.
-    """
+        heavy.append(found)
+        here = staged(weights(runs, heavy), "prefixes")
+    return heavy, np.unique(np.cumsum(weight) // budget, return_inverse=True)[1]
+
+
+def grouped(runs: DataFrame, heavy: list[np.ndarray], group: np.ndarray) -> DataFrame:
+    """Runs (with ``part``) of the suffixes of one group each."""
+    shared = runs.sparkSession.sparkContext.broadcast((heavy, group.astype(np.int32)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, group = shared.value
         for batch in batches:
-            size = batch.num_rows
-            if not size:
+            for lang, *held in zip(*(c.to_pylist() for c in batch.columns)):
+                words, columns, n = unpacked(*held)
+                hashes = prefix_hashes(lang, words, columns)
+                length = prefix_lengths(hashes, heavy)
+                h = np.choose(length - 1, hashes)
+                part = group[(h >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)]
+                order = np.argsort(part, kind="stable")
+                cuts = np.flatnonzero(np.diff(part[order])) + 1
+                rows = [(int(part[some[0]]), *part_of(lang, words, columns, n, some)) for some in np.split(order, cuts)]
+                yield batch_of(rows, f"part int, {RUN}")
+
+    return runs.mapInArrow(run, f"part int, {RUN}")
+
+
+# --- subtrees -------------------------------------------------------------------------------
+
+class Subtree:
+    """The suffixes of one group with their counts, as numbers of the words seen so far."""
+
+    def __init__(self) -> None:
+        self.numbers = Numbers({b"": 0})
+        self.rows = np.zeros((DEPTH + 1, 0), np.int64)
+        self.more: list[np.ndarray] = []
+        self.pending = 0
+
+    def add(self, words: list[bytes], columns: list[np.ndarray], n: np.ndarray) -> None:
+        own = np.array([0, *map(self.numbers.__getitem__, words)], np.int64)
+        self.more.append(np.stack([*(own[c] for c in columns), n]))
+        self.pending += len(n)
+        if self.pending > max(BUDGET, self.rows.shape[1]):
+            self.settle()
+
+    def settle(self) -> None:
+        """Sorts the suffixes and adds up equal ones."""
+        rows = np.concatenate([self.rows, *self.more], axis=1)
+        self.more, self.pending = [], 0
+        order = np.lexsort(rows[DEPTH - 1::-1])
+        rows = rows[:, order]
+        first = np.flatnonzero(branches(rows)[-1])
+        self.rows = rows[:, first]
+        if len(first):
+            self.rows[DEPTH] = np.add.reduceat(rows[DEPTH], first)
+
+    def nodes(self, lang: str, heavy: list[np.ndarray], least: int) -> Iterator[pa.RecordBatch]:
+        """(lang, w1, w2, w3, f): nodes that occur ``least`` times, and the parts of those above extended prefixes."""
+        self.settle()
+        rows, words = self.rows, list(self.numbers)
+        length = prefix_lengths(prefix_hashes(lang, words[1:], list(rows[:DEPTH])), heavy)
+        for depth, new in enumerate(branches(rows), start=1):
+            starts = np.flatnonzero(new)
+            if not len(starts):
                 continue
-            columns = [batch.column(k) for k in range(DEPTH + 1)]
-            n, length = batch.column(DEPTH + 1).to_numpy(), batch.column(DEPTH + 2).to_numpy()
-            new = np.zeros(size, bool)
-            new[0] = True
-            for depth, column in enumerate(columns):
-                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, size - 1)).to_numpy(zero_copy_only=False)
-                if not depth:
-                    continue
-                starts = np.flatnonzero(new)
-                f = np.add.reduceat(n, starts)
-                keep = (f >= least) | (length[starts] > depth)
-                keep[[0, -1]] = True
-                keep &= np.asarray(pc.not_equal(column.take(pa.array(starts)), ""))
-                at = pa.array(starts[keep])
-                nothing = pa.array([""]).take(pa.array(np.zeros(len(at), np.int64)))
-                path = [c.take(at) for c in columns[:depth + 1]] + [nothing] * (DEPTH - depth)
-                yield pa.record_batch([*path, pa.array(f[keep])], names=["lang", *WORDS, "f"])
-    return run
+            f = np.add.reduceat(rows[DEPTH], starts)
+            keep = ((f >= least) | (length[starts] > depth)) & (rows[depth - 1][starts] > 0)
+            at, f = starts[keep], f[keep]
+            path = [[words[k].decode() for k in rows[d][at].tolist()] if d < depth else [""] * len(at) for d in range(DEPTH)]
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), *(pa.array(p, pa.string()) for p in path), pa.array(f)],
+                                  names=["lang", *WORDS, "f"])
+
+
+def branches(rows: np.ndarray) -> list[np.ndarray]:
+    """For each depth, where a sorted suffix differs from the one before within its first words."""
+    new = np.zeros(rows.shape[1], bool)
+    new[:1] = True
+    out = []
+    for depth in range(DEPTH):
+        new = new.copy()
+        new[1:] |= rows[depth][1:] != rows[depth][:-1]
+        out.append(new)
+    return out
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
     """(lang, w1, w2, w3, f) of all phrases of at most DEPTH words that occur ``least`` times, and (lang, n)."""
-    grouped, groups, words = partitioned(staged(suffixes(docs), "suffixes"), budget)
-    ordered = grouped.repartitionById(groups, "group").sortWithinPartitions("lang", *WORDS)
+    runs = staged(suffixes(docs), "runs")
+    heavy, group = partition(runs, budget)
+    shared = runs.sparkSession.sparkContext.broadcast(heavy)
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees: dict[str, Subtree] = {}
+        for batch in batches:
+            for _, lang, *held in zip(*(c.to_pylist() for c in batch.columns)):
+                trees.setdefault(lang, Subtree()).add(*unpacked(*held))
+        for lang, tree in trees.items():
+            yield from tree.nodes(lang, shared.value, least)
+
     schema = ", ".join(["lang string", *(f"{w} string" for w in WORDS), "f long"])
-    nodes = ordered.select("lang", *WORDS, "n", "length").mapInArrow(subtrees(least), schema)
+    # One partition for each group, and no other group in it.
+    nodes = grouped(runs, heavy, group).repartitionById(int(group.max()) + 1, "part").mapInArrow(grow, schema)
     whole = nodes.groupBy("lang", *WORDS).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    return staged(whole, "nodes"), words.groupBy("lang").agg(F.sum("n").alias("n"))
 
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_of([(lang, int(unpacked(*held)[2].sum())) for lang, *held in zip(*(c.to_pylist() for c in batch.columns))], "lang string, n long")
+
+    return staged(whole, "nodes"), runs.mapInArrow(occurrences, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+
+
+# --- phrases --------------------------------------------------------------------------------
 
 def scored(nodes: DataFrame) -> DataFrame:
     """Candidates of two and three words with the cut that scores lowest: (lang, w1, w2, w3, a, l, r, score)."""
