@@ -37,8 +37,10 @@ UNKNOWN = "und"
 START = "▁"
 LETTERS = regex.compile(r"\p{L}+")
 # Words kept with their probabilities by one worker, and words counted together before they are handed on.
-CACHE = 500_000
+CACHE = 300_000
 STRETCH = 200_000
+# Letters of texts predicted together.
+TEXT = 1 << 22
 # Words of the counts handled together in a round.
 BLOCK = 100_000
 # Cells of one forward table: words of equal length are computed side by side.
@@ -247,6 +249,16 @@ class Model:
         self.__init__(*state)
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """(language, share) of every text; a stretch of texts is held as words at a time."""
+        out, first, held = [], 0, 0
+        for k, text in enumerate(texts):
+            held += len(text)
+            if held > TEXT or k == len(texts) - 1:
+                out += self._predict(texts[first:k + 1])
+                first, held = k + 1, 0
+        return out
+
+    def _predict(self, texts: list[str]) -> list[tuple[str, float]]:
         found = [letters(t) for t in texts]
         if len(self.known) > CACHE:
             self.known, self.scores = {}, self.scores[:0]
@@ -318,14 +330,15 @@ def fit(train: DataFrame, rounds: int = ROUNDS, path: str | None = None) -> Mode
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with lang_pred and score."""
+    """``docs`` with lang_pred and score; columns of these names give way."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(shared.value.predict(texts.tolist()), columns=["lang_pred", "score"])
 
-    return docs.withColumn("__found", predict(text_of())).select("*", "__found.*").drop("__found")
+    kept = docs.drop("lang_pred", "score")
+    return kept.withColumn("__found", predict(text_of())).select(*kept.columns, "__found.*")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
