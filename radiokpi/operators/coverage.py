@@ -261,12 +261,34 @@ def rows_by_source_files(tables: Tables, source_files: DataFrame) -> DataFrame:
     return rows_by_file_time(tables, source_files).groupBy("source_file").agg(F.sum("row_count").alias("row_count"))
 
 
+def newest_days(activity: DataFrame, rows: int) -> list:
+    """Days (newest first, NULL before all) that hold the ``rows`` newest fact rows, by the counts of the counter activity.
+
+    Every day has a row, so at most ``rows`` days are looked at, one small row for each.
+    """
+    days = activity.groupBy(F.to_date("collect_time").alias("day")).agg(F.sum("row_count").alias("n"))
+    chosen, held = [], 0
+    for day, n in days.orderBy(F.desc_nulls_first("day")).limit(rows).collect():
+        if held >= rows:
+            break
+        chosen.append(day)
+        held += n
+    return chosen
+
+
 def recent_facts(tables: Tables, *, limit: int) -> DataFrame:
-    """Newest rows by collect time; the remaining columns make the order total."""
+    """Newest rows by collect time; the remaining columns make the order total.
+
+    Where the counter activity is stored and facts lie by day, only the days that hold the newest rows are read.
+    """
     columns = ["source_file", "dataset_family", "revision", "csv_name", "collect_time", "ani", "sbnid", "enbid",
                "enodebid", "cellid", "meid", "counter_id", "counter_value"]
-    return page(tables.pm_sample.select(*columns), "-collect_time", *[c for c in columns if c != "collect_time"],
-                limit=limit)
+    facts = tables.pm_sample
+    if "counter_activity" in tables and "collect_date" in facts.columns:
+        days = newest_days(tables["counter_activity"], limit)
+        dated = F.col("collect_date").isin([d for d in days if d is not None])
+        facts = facts.where(dated | F.col("collect_date").isNull() if None in days else dated)
+    return page(facts.select(*columns), "-collect_time", *[c for c in columns if c != "collect_time"], limit=limit)
 
 
 def counter_mapping_gaps(tables: Tables, *, limit: int | None = None) -> DataFrame:

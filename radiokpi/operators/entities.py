@@ -16,10 +16,16 @@ SHAPE = ["dataset_family", "sbnid", "enbid", "enodebid", "cellid", "meid", "ani"
 
 
 def keyed_facts(tables: Tables) -> DataFrame:
-    """Fact rows with ``logical_entity_key`` computed from the raw dimensions; no join."""
+    """Fact rows with ``logical_entity_key`` computed from the raw dimensions; no join. Facts stored with their key keep it."""
+    if "logical_entity_key" in tables.pm_sample.columns:
+        return tables.pm_sample
     return tables.pm_sample.withColumn("logical_entity_key", logical_entity_key())
 
 
+def fact_columns(tables: Tables) -> list[str]:
+    return [c for c in tables.pm_sample.columns if c != "logical_entity_key"]
+
+
 def level_overrides(tables: Tables) -> DataFrame:
     identity = tables.entity_identity
     family_in_key = F.regexp_extract("logical_entity_key", r"^family=([^|]*)", 1)
@@ -42,7 +48,7 @@ def raw_with_entity(tables: Tables) -> DataFrame:
     facts = facts.withColumn("derived_entity_level", entity_level())
     joined = facts.join(identity, "logical_entity_key", "left")
     return joined.select(
-        *tables.pm_sample.columns, "derived_logical_entity_key", "derived_entity_level", "logical_entity_key",
+        *fact_columns(tables), "derived_logical_entity_key", "derived_entity_level", "logical_entity_key",
         F.coalesce("_identity_level", "derived_entity_level").alias("entity_level"),
     )
 
@@ -68,26 +74,40 @@ def entity_summary_by_family(tables: Tables, *, limit: int | None = None) -> Dat
     return page(summary, "-distinct_logical_entity_keys", "dataset_family", limit=limit)
 
 
-def sync_entities(tables: Tables) -> DataFrame:
+def entity_shapes(tables: Tables) -> DataFrame:
+    """Raw shapes with a family and their rows: the part of the facts that an entity sync reads. May be stored per load."""
+    if "entity_shapes" in tables:
+        return tables["entity_shapes"]
+    return tables.pm_sample.where("dataset_family is not null").groupBy(*SHAPE).agg(F.count("*").alias("row_count"))
+
+
+def sync_entities(tables: Tables, *, new_only: bool = False) -> DataFrame:
     """Identity table after merging the entities seen in facts.
 
     An entity may have several raw shapes; the smallest one represents it, so the
     result does not depend on row order. Entities without a family are left out.
-    Facts are counted per shape in a hash aggregate of its own: without the count Spark
+    Shapes are counted in a hash aggregate of their own: without the count Spark
     would merge it with the choice of the smallest shape, which sorts what it reads.
+
+    ``new_only``: the shapes are those of loads that no sync has seen. An entity then keeps the smaller of its new shape
+    and the one that earlier syncs have left in the identity table, which is what a sync over all loads would choose.
     """
     dims = SHAPE[1:]
-    shapes = tables.pm_sample.where("dataset_family is not null").groupBy(*SHAPE).agg(F.count("*").alias("_rows"))
+
+    def ordered(prefix: str = "") -> list:
+        return [F.struct(F.col(prefix + c).isNull().alias("absent"), F.col(prefix + c).alias("value")).alias(c) for c in dims]
+
+    shapes = entity_shapes(tables).groupBy(*SHAPE).agg(F.sum("row_count").alias("_rows"))
     seen = shapes.withColumns({"logical_entity_key": logical_entity_key(), "entity_level": entity_level()})
     seen = seen.groupBy("logical_entity_key", "dataset_family", "entity_level").agg(
-        F.sum("_rows").alias("_rows"), F.min(F.struct(*[F.struct(F.col(c).isNull().alias("absent"), F.col(c).alias("value")).alias(c)
-                         for c in dims])).alias("shape"))
-    incoming = seen.where("_rows > 0").select(
-        "logical_entity_key", "dataset_family", *[F.col("shape")[c]["value"].alias(c) for c in dims], "entity_level")
-    taken = [c for c in incoming.columns if c != "logical_entity_key"]
-    fresh = incoming.select("logical_entity_key", F.lit(True).alias("_fresh"), *[F.col(c).alias(f"_{c}") for c in taken])
-    merged = tables.entity_identity.join(fresh, "logical_entity_key", "full_outer")
-    return merged.select("logical_entity_key", *[F.when(F.col("_fresh"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in taken], "notes")
+        F.sum("_rows").alias("_rows"), F.min(F.struct(*ordered())).alias("_shape"))
+    fresh = seen.where("_rows > 0").select(
+        "logical_entity_key", "_shape", F.lit(True).alias("_fresh"), F.col("dataset_family").alias("_family"), F.col("entity_level").alias("_level"))
+    merged = tables.entity_identity.withColumn("_known", F.lit(True)).join(fresh, "logical_entity_key", "full_outer")
+    if new_only:
+        merged = merged.withColumn("_shape", F.when(F.col("_known") & F.col("_fresh"), F.least("_shape", F.struct(*ordered()))).otherwise(F.col("_shape")))
+    taken = {"dataset_family": F.col("_family"), **{c: F.col("_shape")[c]["value"] for c in dims}, "entity_level": F.col("_level")}
+    return merged.select("logical_entity_key", *[F.when(F.col("_fresh"), value).otherwise(F.col(c)).alias(c) for c, value in taken.items()], "notes")
 
 
 def entity_identity_list(tables: Tables, *, limit: int | None = None) -> DataFrame:

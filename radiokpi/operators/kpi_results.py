@@ -58,22 +58,29 @@ def collect_time_window(frame: DataFrame, start: datetime | None, end: datetime
     return frame
 
 
-def latest_window(facts: DataFrame, dataset_family: str) -> DataFrame:
+def latest_window(facts: DataFrame, dataset_family: str, activity: DataFrame | None = None) -> DataFrame:
     """facts of one family at its newest collect time.
 
-    The newest time is a scalar subquery, evaluated before the scan. Where the table
-    has collect_date, the newest day comes first and as a partition filter, so times
-    are read from one day only.
+    The newest time is a scalar subquery, evaluated before the scan. It is read from the counter ``activity`` where that
+    is stored, which is far smaller than the facts and no fact file is opened for it; the day of that time is a partition
+    filter where the table has collect_date. Without stored activity the newest day comes first, so times are read from
+    one day only.
     """
     chosen = facts.where(F.col("dataset_family") == dataset_family)
-    if "collect_date" in facts.columns:
+    dated = "collect_date" in facts.columns
+    if activity is not None:
+        newest = activity.where(F.col("dataset_family") == dataset_family).agg(F.max("collect_time").alias("newest"))
+        if dated:
+            chosen = chosen.where(F.col("collect_date") == newest.select(F.to_date("newest")).scalar())
+        return chosen.where(F.col("collect_time") == newest.scalar())
+    if dated:
         chosen = chosen.where(F.col("collect_date") == chosen.agg(F.max("collect_date")).scalar())
     return chosen.where(F.col("collect_time") == chosen.agg(F.max("collect_time")).scalar())
 
 
 def _window(tables: Tables, dataset_family: str, start, end) -> DataFrame:
     if start is None and end is None:
-        return latest_window(tables.pm_sample, dataset_family)
+        return latest_window(tables.pm_sample, dataset_family, tables.get("counter_activity"))
     return collect_time_window(tables.pm_sample.where(F.col("dataset_family") == dataset_family), start, end)
 
 

@@ -155,18 +155,53 @@ def verified_place_time(tables: Tables, *, family: str, place: str, limit: int |
 
 
 def execution_validation(tables: Tables, *, family: str, limit: int | None = None) -> DataFrame:
-    """K7 (prb), K8 (bler): input coverage beside the rows actually produced."""
+    """K7 (prb), K8 (bler): input coverage beside the rows actually produced, from one reduction of the facts.
+
+    The facts become one row per entity and time with the counters seen as bits of a number. What is covered and what
+    is executed are then questions to that number: an input is seen where one of its counters is, a KPI has a row where
+    exactly two of its inputs are. Both are put at once, so facts are read and reduced once.
+    """
     keys = ["kpi_code", "dataset_family"]
-    covered = kpi_input_coverage(tables, kpi_codes=tuple(KPI_CODES[family])).groupBy(*keys).agg(
-        F.count_distinct("input_alias").alias("covered_input_aliases"),
-        F.min("counter_verification_status").alias("min_counter_verification_status"),
-        F.min("distinct_collect_times").alias("min_input_collect_times"),
-        F.min("distinct_logical_entities").alias("min_input_entities"))
-    executed = verified_entity_time(tables, family=family).groupBy(*keys).agg(
-        F.count("*").alias("executed_rows"), F.count_distinct("collect_time").alias("executed_collect_times"),
-        F.count_distinct("logical_entity_key").alias("executed_entities"))
-    joined = covered.join(executed, keys, "left").select(
-        *covered.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in executed.columns[2:]])
+    inputs = tables.kpi_formula_input.where(F.col("kpi_code").isin(*KPI_CODES[family])).join(
+        tables.kpi_formula.select("kpi_code", (F.col("verification_status") == "VERIFIED").alias("_kpi")), "kpi_code").select(
+        *keys, "input_alias", "counter_alias", (F.col("required") & F.col("_kpi")).alias("_used"))
+    usable = (F.col("verification_status") == "VERIFIED") & (F.col("aggregation_behavior") == "SUM") & (F.col("unit") == "Number")
+    counters = tables.counter_dictionary.select(
+        "dataset_family", "counter_alias", "counter_id", usable.alias("_usable"), F.col("verification_status").alias("counter_status"))
+    by_counter = Window.partitionBy("dataset_family").orderBy("counter_id")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.dense_rank().over(by_counter) - 1)
+    specs, counter_ids = resolved(inputs.join(counters, ["dataset_family", "counter_alias"]).select(
+        *keys, "input_alias", "counter_alias", "counter_id", (F.col("_used") & F.col("_usable")).alias("_used"), bit.alias("_bit")))
+
+    def small(frame: DataFrame) -> DataFrame:
+        # The hint is safe: rows that were resolved are counted.
+        return frame if counter_ids is None else F.broadcast(frame)
+
+    seen = facts_of(keyed_facts(tables), counter_ids).join(
+        small(specs.select("dataset_family", "counter_id", "_bit").distinct()), ["dataset_family", "counter_id"])
+    reduced = seen.groupBy(*ENTITY_TIME).agg(F.bit_or("_bit").alias("_bits"))
+    # What is asked of a row: of ``masks`` exactly ``needed`` have a bit in it.
+    covers = specs.groupBy("dataset_family", "counter_alias").agg(F.bit_or("_bit").alias("mask")).select(
+        "dataset_family", F.lit("input").alias("kind"), F.col("counter_alias").alias("name"), F.array("mask").alias("masks"), F.lit(1).alias("needed"))
+    executes = specs.where("_used").groupBy(*keys, "input_alias").agg(F.bit_or("_bit").alias("mask")).groupBy(*keys).agg(
+        F.collect_list("mask").alias("masks")).select(
+        "dataset_family", F.lit("kpi").alias("kind"), F.col("kpi_code").alias("name"), "masks", F.lit(2).alias("needed"))
+    present = F.size(F.filter("masks", lambda mask: mask.bitwiseAND(F.col("_bits")) != 0))
+    found = reduced.join(small(covers.union(executes)), "dataset_family").where(present == F.col("needed")).groupBy(
+        "dataset_family", "kind", "name").agg(
+        F.count("*").alias("rows"), F.count_distinct("collect_time").alias("times"), F.count_distinct("logical_entity_key").alias("entities"))
+
+    status = counters.select("dataset_family", "counter_alias", "counter_status")
+    asked = inputs.join(status, ["dataset_family", "counter_alias"], "left").select(
+        *keys, F.lit("input").alias("kind"), F.col("counter_alias").alias("name"), "input_alias", "counter_status")
+    asked = asked.union(inputs.select(*keys, F.lit("kpi"), F.col("kpi_code"), F.lit(None).cast("string"), F.lit(None).cast("string")).distinct())
+    is_input, is_kpi = F.col("kind") == "input", F.col("kind") == "kpi"
+    joined = asked.join(found, ["dataset_family", "kind", "name"], "left").groupBy(*keys).agg(
+        F.count_distinct("input_alias").alias("covered_input_aliases"), F.min("counter_status").alias("min_counter_verification_status"),
+        F.min(F.when(is_input, F.coalesce("times", F.lit(0)))).alias("min_input_collect_times"),
+        F.min(F.when(is_input, F.coalesce("entities", F.lit(0)))).alias("min_input_entities"),
+        *[F.coalesce(F.max(F.when(is_kpi, F.col(c))), F.lit(0)).alias(f"executed_{name}")
+          for c, name in (("rows", "rows"), ("times", "collect_times"), ("entities", "entities"))])
     return page(joined, "kpi_code", "dataset_family", limit=limit)
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from radiokpi.functions import page
-from radiokpi.operators.entities import raw_with_entity
+from radiokpi.functions import entity_level, page
+from radiokpi.operators.entities import fact_columns, keyed_facts
 from radiokpi.tables import Tables
 
 PLACES = ["site_code", "site_name", "region_code", "region_name", "reporting_key", "reporting_name", "reporting_level"]
@@ -48,10 +48,28 @@ def with_places(frame: DataFrame, tables: Tables, *extra: str) -> DataFrame:
     return frame.join(places, "logical_entity_key", "left")
 
 
+def entity_places(tables: Tables) -> DataFrame:
+    """Identity entities with their kept level and their place: what a fact row takes from both, in one dimension.
+
+    May be stored beside the facts, bucketed as they are.
+    """
+    if "entity_places" in tables:
+        return tables["entity_places"]
+    identity = tables.entity_identity.select("logical_entity_key", F.col("entity_level").alias("kept_level"))
+    places = tables.topo_enrichment.select("logical_entity_key", *PLACES, "mapping_status")
+    return identity.join(places, "logical_entity_key", "left")
+
+
 def raw_with_entity_topology(tables: Tables) -> DataFrame:
-    """J3."""
-    facts = raw_with_entity(tables)
-    return with_places(facts, tables, "mapping_status").select(*facts.columns, *PLACES, "mapping_status")
+    """Every fact row with its entity and place. One join: places belong to identity entities only.
+
+    Facts and ``entity_places`` that are stored in buckets of the entity key meet without moving a fact row.
+    """
+    facts = keyed_facts(tables).withColumns({
+        "derived_logical_entity_key": F.col("logical_entity_key"), "derived_entity_level": entity_level()})
+    return facts.join(entity_places(tables), "logical_entity_key", "left").select(
+        *fact_columns(tables), "derived_logical_entity_key", "derived_entity_level", "logical_entity_key",
+        F.coalesce("kept_level", "derived_entity_level").alias("entity_level"), *PLACES, "mapping_status")
 
 
 def topology_overview(tables: Tables) -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
+import os
 import tarfile
 import zipfile
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F
 
 from radiokpi.tables import Tables
@@ -36,6 +39,13 @@ def _pack(name: str, lines) -> bytes:
     return out.getvalue()
 
 
+def written_file(path: str) -> pa.NativeFile:
+    """A new file at ``path``, in any store pyarrow knows; its folder is made where it is missing."""
+    store, inside = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+    store.create_dir(os.path.dirname(inside), recursive=True)
+    return store.open_output_stream(inside, compression=None)
+
+
 def csv_rows(tables: Tables) -> DataFrame:
     """One CSV line per counter row with the archive it goes into.
 
@@ -63,16 +73,43 @@ def csv_rows(tables: Tables) -> DataFrame:
     return rows.select(name.alias("source_file"), F.concat_ws(",", *cells).alias("line"))
 
 
-def archives(tables: Tables) -> DataFrame:
-    """Archives (source_file, path, file_hash, content)."""
-    @F.pandas_udf("binary")
-    def pack(names: pd.Series, lines: pd.Series) -> pd.Series:
-        return pd.Series([_pack(n, ls) for n, ls in zip(names, lines)])
+def archives(tables: Tables, folder: str, *, copies: str | None = None) -> DataFrame:
+    """Archives (path, source_file, file_hash) written below ``folder``/in.
+
+    With ``copies``, which is put before their names, some are written once more below ``folder``/more. A task that
+    is repeated writes the same bytes again.
+    """
+    def written(batches):
+        for batch in batches:
+            rows = []
+            for name, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                content = _pack(name, lines)
+                paths = [f"{folder}/in/{name}"]
+                if copies is not None and name.startswith("UMEID_LTEFDD") and name.endswith(".zip"):
+                    paths.append(f"{folder}/more/{copies}{name}")
+                for path in paths:
+                    with written_file(path) as file:
+                        file.write(content)
+                    rows.append((path, os.path.basename(path), hashlib.sha256(content).hexdigest()))
+            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3,
+                                  names=["path", "source_file", "file_hash"])
 
     rows = csv_rows(tables)
     grouped = rows.groupBy("source_file").agg(F.array_sort(F.collect_list("line")).alias("lines"))
     # Packing is work per archive, not per byte: keep every core busy although the data are small.
     grouped = grouped.repartition(rows.sparkSession.sparkContext.defaultParallelism, "source_file")
-    packed = grouped.select("source_file", pack("source_file", "lines").alias("content"))
-    return packed.select("source_file", F.concat(F.lit("/in/"), "source_file").alias("path"),
-                         F.sha2("content", 256).alias("file_hash"), "content")
+    listing = grouped.mapInArrow(written, "path string, source_file string, file_hash string")
+    listing.write.parquet(f"{folder}/listing")
+    return rows.sparkSession.read.parquet(f"{folder}/listing")
+
+
+def small_files(paths: DataFrame) -> DataFrame:
+    """A file of one byte at every ``path``, written by the tasks that hold it; returns the paths."""
+    def written(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with written_file(path) as file:
+                    file.write(b"x")
+            yield batch
+
+    return paths.select("path").mapInArrow(written, "path string")

@@ -35,6 +35,18 @@ def _policy(policy):
 _FILES = "(select distinct dataset_family, interval_start, revision, source_file from pm_wide where dataset_family is not null) as f"
 _REG = ["id", "dataset_family", "interval_start", "revision"]
 
+RECENT = f"""
+        select source_file, dataset_family, revision, csv_name, collect_time, ani, {_DIMS}, counter_id, counter_value from pm_sample
+        order by collect_time desc nulls first, source_file, dataset_family nulls last, revision nulls last, csv_name, ani nulls last,
+          sbnid, enbid nulls last, enodebid nulls last, cellid, meid nulls last, counter_id, counter_value nulls last limit 200"""
+PLACED = f"""
+        select {_FACT}, logical_entity_key as derived_logical_entity_key, own_level as derived_entity_level, logical_entity_key,
+          entity_level, {PLACES}, mapping_status from placed"""
+LATEST = f"""
+    select collect_time, counter_id, count(*) as row_count, sum(counter_value) as sum_counter_value from pm_sample
+    where dataset_family = '{SDR_CELL}' and collect_time = (select max(collect_time) from pm_sample where dataset_family = '{SDR_CELL}')
+    group by all"""
+
 QUERIES = [
     # --- counts straight from facts
     Query("counts_by_source_file", c.counts_by_source_file,
@@ -55,11 +67,7 @@ QUERIES = [
         select collect_time, s.ani, dataset_family, {_DIMS}, logical_entity_key, site_code, region_name, s.counter_id, {_REF},
           {_N}, {_STATS} from pm_sample s left join ani_entity a on a.ani = s.ani
           left join counter_reference r on r.counter_id = s.counter_id group by all""", _D),
-    Query("recent_facts", lambda t: c.recent_facts(t, limit=200), f"""
-        select source_file, dataset_family, revision, csv_name, collect_time, ani, {_DIMS}, counter_id, counter_value from pm_sample
-        order by collect_time desc nulls first, source_file, dataset_family nulls last, revision nulls last, csv_name, ani nulls last,
-          sbnid, enbid nulls last, enodebid nulls last, cellid, meid nulls last, counter_id, counter_value nulls last limit 200""",
-          "counter_value"),
+    Query("recent_facts", lambda t: c.recent_facts(t, limit=200), RECENT, "counter_value"),
 
     # --- entities
     Query("entity_key", e.entity_keys, "select distinct dataset_family, logical_entity_key, entity_level from shapes"),
@@ -150,9 +158,7 @@ QUERIES = [
     # --- topology
     Query("entity_topology_projection", t.entity_topology_projection,
           f"select logical_entity_key, dataset_family, entity_level, {PLACES}, mapping_status from topo_enrichment"),
-    Query("raw_with_entity_topology", t.raw_with_entity_topology, f"""
-        select {_FACT}, logical_entity_key as derived_logical_entity_key, own_level as derived_entity_level, logical_entity_key,
-          entity_level, {PLACES}, mapping_status from placed""", "counter_value"),
+    Query("raw_with_entity_topology", t.raw_with_entity_topology, PLACED, "counter_value"),
     Query("topology_enrichment_sync", t.topology_enrichment, "select * from topo_enrichment"),
     Query("site_coverage", c.site_coverage, """
         select site_code, site_name, region_code, region_name, dataset_family,

@@ -346,7 +346,7 @@ class DerivedTables(Tables):
         self._spark, self._directory = spark, directory
 
     def __missing__(self, name: str) -> DataFrame:
-        if name in ("entity_activity", "counter_activity"):
+        if name in ("entity_activity", "counter_activity", "entity_shapes", "entity_places"):
             raise KeyError(name)
         self[name] = self._kept(name) if name in _KEPT else self._build(name)
         return self[name]

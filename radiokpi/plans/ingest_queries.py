@@ -7,11 +7,15 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
-from radiokpi.operators import merging as m
-from radiokpi.plans.archive_tables import ORDERS_PER_ARCHIVE, archives
+from radiokpi.operators import coverage as c, merging as m
+from radiokpi.operators.kpi_results import latest_window
+from radiokpi.operators.topology import raw_with_entity_topology
+from radiokpi.plans.archive_tables import ORDERS_PER_ARCHIVE, archives, small_files
+from radiokpi.plans.coverage_queries import LATEST, PLACED, RECENT
 from radiokpi.plans.query import Query
 
-from radiokpi.sources import archives as ar, facts as fa, manifest as mf, seeds
+from radiokpi.schemas import ITBBU_CELL, SDR_CELL
+from radiokpi.sources import archives as ar, cycle as cy, facts as fa, manifest as mf, seeds
 from radiokpi.streaming import jobs
 from radiokpi.tables import shared_folder
 
@@ -52,20 +56,19 @@ _FACTS = f"""(
 
 
 def _parsed(t) -> DataFrame:
-    return _staged(t, ar.parse_pm_rows(ar.expand_archives(archives(t))))
+    return _staged(t, ar.parse_pm_rows(ar.expand_archives(archives(t, _folder(t)))))
 
 
-def _copies(packed: DataFrame) -> DataFrame:
-    """Some archives once more under another name."""
-    return packed.where("source_file like 'UMEID_LTEFDD%.zip'").withColumns(
-        {"source_file": F.concat(F.lit("copy_"), "source_file"), "path": F.concat("path", F.lit("_copy"))})
+def _facts(t) -> DataFrame:
+    parsed = _parsed(t)
+    return ar.unpivot_counters(ar.good_rows(parsed), ar.layouts(parsed))
 
 
 def _marked(t) -> tuple[DataFrame, DataFrame]:
     """Archives with copies, and an audit in which some of them are loaded already."""
-    packed = archives(t)
-    done = packed.where("source_file like '%0301\\_0000\\_R%'").select("file_hash", F.lit("SUCCESS").alias("status"))
-    return packed.unionByName(_copies(packed)), done
+    packed = archives(t, _folder(t), copies="copy_")
+    done = packed.where("source_file not like 'copy%' and source_file like '%0301\\_0000\\_R%'").select("file_hash", F.lit("SUCCESS").alias("status"))
+    return packed, done
 
 
 _DUPES = f"""
@@ -88,6 +91,62 @@ def _written(t) -> DataFrame:
     return fa.read_facts(t.pm_sample.sparkSession, folder)
 
 
+def _loaded(t, parts: int = 1):
+    """The facts as ``parts`` loads with their activity, and the folder they lie in."""
+    folder, spark = _folder(t), t.pm_sample.sparkSession
+    for part in range(parts):
+        share = t.pm_sample.where(F.pmod(F.xxhash64("csv_name", "source_file", "ani"), F.lit(parts)) == part)
+        fa.write_facts(share, f"{folder}/facts", load_id=part)
+        fa.store_activity(t.updated(pm_sample=fa.read_load(spark, folder, part)), folder, load_id=part)
+    return t.updated(pm_sample=fa.read_facts(spark, f"{folder}/facts"), **fa.read_activity(spark, folder)), folder
+
+
+def _latest_loaded(t) -> DataFrame:
+    loaded, _ = _loaded(t, 2)
+    newest = latest_window(loaded.pm_sample, SDR_CELL, loaded["counter_activity"])
+    return newest.groupBy("collect_time", "counter_id").agg(F.count("*").alias("row_count"), F.sum("counter_value").alias("sum_counter_value"))
+
+
+def _synced_by_load(t) -> DataFrame:
+    """Two loads, each synced on its own into an identity table that starts empty."""
+    _, folder = _loaded(t, 2)
+    spark = t.pm_sample.sparkSession
+    identity, after = t.entity_identity.limit(0), None
+    for load in ("0", "1"):
+        runs = spark.createDataFrame([(f"load-{load}",)], "run_id string")
+        spark.createDataFrame([], fa.AUDIT_SCHEMA).unionByName(runs, allowMissingColumns=True).write.parquet(f"{folder}/audit/load={load}")
+        identity = fa.sync_new_loads(spark, folder, identity, after=after, folder=f"{folder}/state/{load}")
+        after = f"{folder}/state/{load}"
+    return identity
+
+
+def _cycle(t) -> tuple[DataFrame, DataFrame]:
+    """One cycle over archives in two directories with equal names, some of which could not be fetched: registry and counts."""
+    folder, spark = _folder(t), t.pm_sample.sparkSession
+    files = archives(t, folder, copies="")
+    remote = F.regexp_replace("path", r"^.*/(in|more)/", "/pm/$1/")
+    named = mf.with_archive_fields(files.select("path", remote.alias("remote_path")), "remote_path")
+    listing = named.select(
+        "remote_path", F.regexp_extract("remote_path", "^(.*)/", 1).alias("remote_directory"), F.col("filename").alias("remote_filename"),
+        "dataset_family", "interval_start", "revision", "extension", F.lit(1).cast("bigint").alias("remote_size_bytes"),
+        F.lit(_NOW).cast("timestamp_ntz").alias("remote_modified_at"))
+    lost = F.col("remote_path").like(r"%0302\_%")
+    transfers = named.select(
+        "remote_path", F.when(lost, "FAILED_DOWNLOAD").otherwise("DOWNLOADED").alias("status"),
+        F.when(~lost, F.col("path")).alias("local_staged_path"), F.when(lost, "gone").alias("error"), F.lit(_NOW).cast("timestamp_ntz").alias("happened_at"))
+    cy.write_state(t.updated(file_registry=t.file_registry.limit(0), file_audit=spark.createDataFrame([], fa.AUDIT_SCHEMA),
+                             entity_identity=t.entity_identity.limit(0)), f"{folder}/root", "none")
+    counts = cy.ingest_cycle(spark, f"{folder}/root", listing, transfers, load_id="1", after="none", source_name="default", now=_NOW)
+    return cy.read_state(spark, f"{folder}/root", "1").file_registry, counts
+
+
+_CYCLE = rf"""(
+    select *, case when lost then 'FAILED_DOWNLOAD' when failed then 'FAILED_INGEST' when place = 'more' then 'SKIPPED_DUPLICATE'
+        else 'INGESTED' end as status
+    from (select source_file, failed, unnest(if(copied, ['in', 'more'], ['in'])) as place, copied, source_file like '%0302\_%' escape '\' as lost
+      from (select *, source_file like 'UMEID\_LTEFDD%.zip' escape '\' as copied from {_FILES})))"""
+
+
 _CELLS = """source_file, dataset_family, interval_start, revision, csv_name, collect_time, ani, sbnid, enbid, enodebid, cellid,
     meid, systemmode, counter_id, counter_value"""
 _CELLS_LIST = [c.strip() for c in _CELLS.split(",")]
@@ -105,6 +164,16 @@ def _names(t) -> DataFrame:
         "root_family"))
 
 
+def _discovered(t) -> DataFrame:
+    """A scan of folders that hold a file for every name of the registry."""
+    folder, spark = _folder(t), t.file_registry.sparkSession
+    roots = {family: f"{folder}/{family.replace('/', '_')}" for family in (ITBBU_CELL, SDR_CELL)}
+    below = F.when(F.col("root_family") == ITBBU_CELL, roots[ITBBU_CELL]).otherwise(roots[SDR_CELL])
+    small_files(_names(t).select(F.concat(below, F.lit("/"), F.regexp_replace("path", "^/", "")).alias("path"))).write.format("noop").mode("overwrite").save()
+    found = mf.discover_new_files(spark, roots, f"{folder}/scans", run_id="1")
+    return found.withColumn("path", F.regexp_replace("path", r"^.*/PM_[^/]*/", "/")).drop("remote_size_bytes", "remote_modified_at")
+
+
 _NAMES = """(select id, if(id % 10 < 5, 'PM/itbbu/ltefdd', 'PM/sdr/ltefdd') as root_family, case when id % 8 = 1 then lower(remote_path)
         when id % 8 = 5 then replace(remote_path, '.tar.gz', '.ZIP') else remote_path end as path, dataset_family, interval_start, revision,
         if(id % 8 = 5, 'zip', 'tar.gz') as extension
@@ -264,13 +333,12 @@ _GROUPS = f"""(select group_code, unnest(max_by(struct_pack(group_name, notes),
 
 
 def _archive_stream(t, folder: str) -> DataFrame:
-    """Archives written as a table of binary values, the copies after the originals, read back as a stream."""
+    """The list of archives as a stream: the originals first, then the copies."""
     spark = t.pm_base.sparkSession
-    packed = archives(t)
-    packed.write.parquet(f"{folder}/in")
-    _copies(packed).write.mode("append").parquet(f"{folder}/in")
-    stored = spark.read.parquet(f"{folder}/in")
-    return spark.readStream.schema(stored.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    packed = archives(t, folder, copies="copy_")
+    packed.where("source_file not like 'copy%'").write.parquet(f"{folder}/arrived")
+    packed.where("source_file like 'copy%'").write.mode("append").parquet(f"{folder}/arrived")
+    return spark.readStream.schema(packed.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/arrived")
 
 
 def _streamed(t) -> str:
@@ -310,13 +378,13 @@ def _stream_revisions(t) -> DataFrame:
 QUERIES = [
     # --- names and listings
     Query("archive_manifest", lambda t: mf.archive_manifest(_names(t)), f"select {_NAMED} from {_NAMES}"),
-    Query("discover_files", lambda t: mf.discovered(_names(t)).drop("id"),
-          f"select * exclude (id, root_family) from (select {_NAMED} from {_NAMES}) where dataset_family = root_family"),
+    Query("discover_files", _discovered, f"""
+        select * exclude (id, root_family) from (select {_NAMED} from {_NAMES}) where dataset_family = root_family"""),
 
     # --- archives
-    Query("expand_archives", lambda t: ar.expand_archives(archives(t)).groupBy("source_file", "csv_name").agg(
-        F.max("member_no").cast("bigint").alias("member_no"), F.max("row_no").alias("rows"), F.max(F.size("row")).cast("bigint").alias("columns"),
-        F.count("problem").alias("problems")), f"""
+    Query("expand_archives", lambda t: ar.expand_archives(archives(t, _folder(t))).groupBy("source_file", "csv_name").agg(
+        F.max("member_no").cast("bigint").alias("member_no"), F.max("row_no").alias("rows"),
+        F.when(F.max("row_no") > 0, F.max(F.size("names"))).otherwise(0).cast("bigint").alias("columns"), F.count("problem").alias("problems")), f"""
         select source_file, csv_name, member_no, if(member_no = 1, n, 0) as rows, if(member_no = 1, 12::bigint, 0) as columns, 0::bigint as problems
         from {_FILES}, (values ('data/pm_a.csv', 1::bigint), ('data/PM_B.CSV', 2::bigint)) as v(csv_name, member_no)"""),
     Query("parse_pm_rows", lambda t: ar.good_rows(_parsed(t)).select(
@@ -326,7 +394,7 @@ QUERIES = [
         from (select {_PARSED} from {_GOOD})"""),
     Query("parse_pm_rows_failed", lambda t: ar.failed_files(_parsed(t)).select("source_file", "error_message"), f"""
         select source_file, 'time data ''badtime'' does not match format ''%Y%m%d%H%M%S''' as error_message from {_FILES} where failed"""),
-    Query("unpivot_counters", lambda t: ar.unpivot_counters(ar.good_rows(_parsed(t))).select(*_CELLS_LIST), f"""
+    Query("unpivot_counters", lambda t: _facts(t).select(*_CELLS_LIST), f"""
         select {_CELLS} from (select {_PARSED}, counter_id, counter_value from {_FACTS})""", "counter_value"),
     Query("unknown_columns", lambda t: ar.unknown_columns(_parsed(t)).drop("path"), f"select source_file, 'NOISE' as unknown_columns from {_FILES}"),
     Query("skip_duplicate_files", lambda t: ar.skip_duplicate_files(*_marked(t)).select("source_file", "duplicate_of"), _DUPES),
@@ -346,6 +414,26 @@ QUERIES = [
             case when (duplicate_of is null and failed) or origin_failed then 'FAILED' when duplicate_of is not null then 'SKIPPED_DUPLICATE' else 'SUCCESS' end as status,
             case when (duplicate_of is null and failed) or origin_failed then 'time data ''badtime'' does not match format ''%Y%m%d%H%M%S''' end as duplicate_error
           from marked m left join used u using (source_file))"""),
+    Query("ingest_cycle", lambda t: _cycle(t)[0].select(
+        "remote_path", "dataset_family", "status", "download_attempt_count", "ingest_attempt_count", "last_error"), f"""
+        select '/pm/' || place || '/' || source_file as remote_path, any_value(dataset_family) as dataset_family, any_value(status) as status,
+          1 as download_attempt_count, if(any_value(lost), 0, 1) as ingest_attempt_count,
+          case any_value(status) when 'FAILED_DOWNLOAD' then 'gone'
+            when 'FAILED_INGEST' then 'time data ''badtime'' does not match format ''%Y%m%d%H%M%S''' end as last_error
+        from {_CYCLE} c join (select source_file, dataset_family from {_LINES}) using (source_file) group by source_file, place"""),
+    Query("ingest_cycle_summary", lambda t: _cycle(t)[1], f"""
+        select count(*) as scanned, count(*) filter (not lost) as downloaded, count(*) filter (status = 'INGESTED') as ingested,
+          count(*) filter (status = 'SKIPPED_DUPLICATE') as skipped_duplicates, count(*) filter (status = 'FAILED_DOWNLOAD') as failed_downloads,
+          count(*) filter (status = 'FAILED_INGEST') as failed_ingests, 0::bigint as reconciliation_needed from {_CYCLE}"""),
+    Query("sync_entities_by_load", _synced_by_load, """
+        select logical_entity_key, dataset_family, r.sbnid, r.enbid, r.enodebid, r.cellid, r.meid, r.ani, entity_level, null::varchar as notes from (
+          select logical_entity_key, dataset_family, entity_level, first({'sbnid': sbnid, 'enbid': enbid, 'enodebid': enodebid,
+              'cellid': cellid, 'meid': meid, 'ani': ani} order by sbnid nulls last, enbid nulls last, enodebid nulls last,
+              cellid nulls last, meid nulls last, ani nulls last) as r
+          from shapes where dataset_family is not null group by logical_entity_key, dataset_family, entity_level)"""),
+    Query("raw_with_entity_topology_by_entity", lambda t: raw_with_entity_topology(fa.store_by_entity(t, _folder(t), buckets=8)), PLACED, "counter_value"),
+    Query("recent_loaded_facts", lambda t: c.recent_facts(_loaded(t, 2)[0], limit=200), RECENT, "counter_value"),
+    Query("latest_loaded_window", _latest_loaded, LATEST, "sum_counter_value"),
     Query("write_facts", lambda t: _written(t).groupBy("dataset_family", "collect_date", "counter_id").agg(
         F.count("*").alias("row_count"), F.sum("counter_value").alias("sum_counter_value")), """
         select dataset_family, collect_time::date::varchar as collect_date, counter_id, count(*) as row_count,

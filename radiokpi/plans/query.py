@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from radiokpi.plans.derived import DerivedTables, Dialect, definitions, with_parts
 from radiokpi.tables import Tables
 
-DIGITS = 4
-# Added before rounding: an exact half then rounds the same way whatever the order of summation was.
-NUDGE = 0.000001234
+DIGITS = 6
+# Far below the last digit: an exact half of it, such as 0.01 / 32, then rounds the same way in both engines.
+NUDGE = 0.00000001234
 
 _KEY = """case dataset_family
   when 'PM/sdr/ltefdd' then concat('family=', dataset_family, '|sbnid=', sbnid, '|enodebid=', enodebid, '|cellid=', cellid)
@@ -108,13 +108,13 @@ class Query:
 
 
 def comparable(frame: DataFrame) -> DataFrame:
-    """Doubles rounded, arrays as joined text and dates as text, so results compare by value across engines."""
+    """Doubles rounded, arrays as joined text (with NULL spelled out) and dates as text, so results compare by value across engines."""
     def shown(field: T.StructField):
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.DecimalType)):
             return F.round(column.cast("double") + F.lit(NUDGE), DIGITS).alias(field.name)
         if isinstance(field.dataType, T.ArrayType):
-            return F.array_join(column, ",").alias(field.name)
+            return F.array_join(column, ",", "NULL").alias(field.name)
         if isinstance(field.dataType, T.DateType):
             return column.cast("string").alias(field.name)
         return column

@@ -1,49 +1,159 @@
 """Counter archives to fact rows.
 
-An archive is the unit of parallelism of the unpacking, which runs in Python and
-streams Arrow batches of bounded size. Every later step is a column expression and,
-once the records are staged, no longer bound to archives: a large one is then split.
+Archives stay files: tasks open them by path, in any store pyarrow knows, so no archive is ever a value of a row.
+``archive_spans`` cuts each into spans of members, which are dealt to tasks by themselves; a span is read as a stream
+of Arrow batches of bounded size. So one huge zip archive is read by many tasks, and what a task holds depends neither
+on the archive nor on a member. A gzipped tar archive has no index and is one span, read as a stream as well.
+
+A member's header is sent once, on its marker row; records carry their dimensions as columns and their counters as an
+array in the order of the header. ``layouts`` has one row for each different header and names the counters.
 """
 
 from __future__ import annotations
 
 import csv
+import gzip
+import hashlib
 import io
+import operator
+import re
 import tarfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from radiokpi.functions import blank_to_null, counter_number, stamp, strip_space
+from radiokpi.functions import blank_to_null, stamp, strip_space
 from radiokpi.schemas import FACT_COLUMNS, KEPT_DIMENSIONS, KNOWN_COLUMNS, TIME_COLUMN
 from radiokpi.sources.manifest import with_archive_fields
 
-EXPANDED = "path string, source_file string, csv_name string, member_no int, row_no bigint, row map<string,string>, problem string"
+_DIMENSIONS = [name.lower() for name in KEPT_DIMENSIONS]
+_HEAD = ["path", "source_file", "csv_name", "member_no", "row_no", "layout", "names", TIME_COLUMN.lower(), *_DIMENSIONS, "problem"]
+_KINDS = {"member_no": pa.int32(), "row_no": pa.int64(), "layout": pa.int64(), "names": pa.list_(pa.string())}
+_SQL = {"member_no": "int", "row_no": "bigint", "layout": "bigint", "names": "array<string>"}
+EXPANDED = ", ".join(f"{c} {_SQL.get(c, 'string')}" for c in _HEAD) + ", counters array<double>"
+SPANS = "path string, source_file string, first int, last int"
 _BATCH_CELLS, _BATCH_ROWS = 500_000, 20_000
-_ARROW = pa.schema([
-    ("path", pa.string()), ("source_file", pa.string()), ("csv_name", pa.string()), ("member_no", pa.int32()), ("row_no", pa.int64()),
-    ("row", pa.map_(pa.string(), pa.string())), ("problem", pa.string())])
-
-
-def _members(content: bytes) -> Iterator[tuple[str, io.TextIOWrapper]]:
-    """CSV members of an archive, byte-order mark removed. The leading bytes say what it is, not its name."""
-    packed = io.BytesIO(content)
-    if content.startswith(b"PK"):
-        box = zipfile.ZipFile(packed)
-        entries = ((entry.filename, entry, entry.is_dir()) for entry in box.infolist())
-        opened = box.open
-    elif content.startswith(b"\x1f\x8b"):
-        box = tarfile.open(fileobj=packed)
-        entries = ((entry.name, entry, not entry.isfile()) for entry in box)
-        opened = box.extractfile
+# Unpacked size and number of members that make one span.
+SPAN_BYTES, SPAN_MEMBERS = 64 << 20, 2_000
+_CHUNK = 1 << 20
+_COUNTER = r"^C[0-9]+$"
+
+
+# --- files ----------------------------------------------------------------------------------
+
+def opened(path: str) -> pa.NativeFile:
+    """The file at ``path`` for random access."""
+    if "://" not in path:
+        return fs.LocalFileSystem().open_input_file(re.sub(r"^file:", "", path))
+    store, inside = fs.FileSystem.from_uri(path)
+    return store.open_input_file(inside)
+
+
+def located(archives: DataFrame) -> DataFrame:
+    """Archives with ``path``; where a listing has none, the name is the path."""
+    return archives if "path" in archives.columns else archives.withColumn("path", F.col("source_file"))
+
+
+def archive_files(files: DataFrame) -> DataFrame:
+    """Archives (path, source_file, file_hash) of a listing with ``path``, such as a ``binaryFile`` scan.
+
+    The hash is taken from the file in pieces; the listing's ``content`` is not asked for.
+    """
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for path in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with opened(path) as file:
+                    while piece := file.read(_CHUNK):
+                        digest.update(piece)
+                digests.append(digest.hexdigest())
+            yield pa.record_batch([batch.column(0), pa.array(digests, pa.string())], names=["path", "file_hash"])
+
+    return files.select("path").mapInArrow(hashed, "path string, file_hash string").select(
+        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), "file_hash")
+
+
+# --- expansion ------------------------------------------------------------------------------
+
+def _is_csv(name: str) -> bool:
+    return name[-4:].lower() == ".csv"
+
+
+def _spans(file: pa.NativeFile, most: int) -> Iterator[tuple[int, int]]:
+    """First and last member of each span. The leading bytes say what the archive is, not its name."""
+    if file.read(2) != b"PK":
+        yield 1, 0  # read to its end
+        return
+    file.seek(0)
+    first, size, no = 1, 0, 0
+    for entry in zipfile.ZipFile(file).infolist():
+        if entry.is_dir() or not _is_csv(entry.filename):
+            continue
+        no, size = no + 1, size + entry.file_size
+        if size >= SPAN_BYTES or no - first + 1 >= most:
+            yield first, no
+            first, size = no + 1, 0
+    if first <= no:
+        yield first, no
+
+
+def archive_spans(archives: DataFrame, span_members: int = SPAN_MEMBERS) -> DataFrame:
+    """Spans (path, source_file, first, last member) of archives; an archive that cannot be listed is one span."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, name in zip(*(column.to_pylist() for column in batch.columns)):
+                try:
+                    with opened(path) as file:
+                        rows += [(path, name, first, last) for first, last in list(_spans(file, span_members))]
+                except Exception:  # the reader of the span meets the same error and reports it
+                    rows.append((path, name, 1, 0))
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()))],
+                                  names=["path", "source_file", "first", "last"])
+
+    return located(archives).select("path", "source_file").mapInArrow(cut, SPANS)
+
+
+def _members(file: pa.NativeFile, first: int, last: int) -> Iterator[tuple[int, str, io.TextIOWrapper]]:
+    """Number, name and text of the CSV members of a span, byte-order mark removed."""
+    def text(stream) -> io.TextIOWrapper:
+        return io.TextIOWrapper(stream, encoding="utf-8-sig", newline="")
+
+    lead = file.read(2)
+    file.seek(0)
+    if lead == b"PK":
+        with zipfile.ZipFile(file) as box:
+            entries = [e for e in box.infolist() if not e.is_dir() and _is_csv(e.filename)]
+            for no in range(first, (last or len(entries)) + 1):
+                yield no, entries[no - 1].filename, text(box.open(entries[no - 1]))
+    elif lead == b"\x1f\x8b":
+        no = 0
+        with gzip.GzipFile(fileobj=file) as plain, tarfile.open(fileobj=plain, mode="r:") as box:
+            while entry := box.next():
+                box.members.clear()  # else it keeps a record of every member
+                if entry.isfile() and _is_csv(entry.name):
+                    no += 1
+                    yield no, entry.name, text(box.extractfile(entry))
     else:
         raise ValueError("neither a zip nor a gzipped tar archive")
-    with box:
-        for name, entry, skipped in entries:
-            if not skipped and name[-4:].lower() == ".csv":
-                yield name, io.TextIOWrapper(opened(entry), encoding="utf-8-sig", newline="")
+
+
+def _number(text: str | None) -> float | None:
+    try:
+        return float(text)
+    except (TypeError, ValueError):
+        return None
+
+
+def _picker(places: list[int]) -> Callable[[list], tuple]:
+    if len(places) < 2:
+        return lambda record: tuple(record[p] for p in places)
+    return operator.itemgetter(*places)
 
 
 class _Rows:
@@ -51,76 +161,77 @@ class _Rows:
 
     def __init__(self) -> None:
         self.head: list[tuple] = []
-        self.offsets, self.keys, self.values = [0], [], []
+        self.offsets, self.values = [0], []
 
-    def add(self, source: tuple[str, str], member: str | None, member_no: int, row_no: int, keys=(), values=(), problem=None) -> None:
-        self.head.append((*source, member, member_no, row_no, problem))
-        self.keys += keys
+    def add(self, head: tuple, values: list | tuple = ()) -> None:
+        self.head.append(head)
         self.values += values
-        self.offsets.append(len(self.keys))
+        self.offsets.append(len(self.values))
+
+    def mark(self, source: tuple[str, str], member: str | None, member_no: int, layout: int | None = None, names: list | None = None,
+             problem: str | None = None) -> None:
+        self.add((*source, member, member_no, 0, layout, names, *[None] * (1 + len(_DIMENSIONS)), problem))
 
     @property
     def full(self) -> bool:
-        return len(self.keys) >= _BATCH_CELLS or len(self.head) >= _BATCH_ROWS
+        return len(self.values) >= _BATCH_CELLS or len(self.head) >= _BATCH_ROWS
 
     def take(self) -> pa.RecordBatch:
-        path, source, member, member_no, row_no, problem = zip(*self.head)
-        rows = pa.MapArray.from_arrays(
-            pa.array(self.offsets, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string()))
-        batch = pa.RecordBatch.from_arrays([
-            pa.array(path, pa.string()), pa.array(source, pa.string()), pa.array(member, pa.string()), pa.array(member_no, pa.int32()),
-            pa.array(row_no, pa.int64()), rows, pa.array(problem, pa.string())], schema=_ARROW)
+        columns = [pa.array(c, _KINDS.get(name, pa.string())) for name, c in zip(_HEAD, zip(*self.head))]
+        counters = pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.array(self.values, pa.float64()))
         self.__init__()
-        return batch
+        return pa.record_batch([*columns, counters], names=[*_HEAD, "counters"])
 
 
-def _unpack(source: tuple[str, str], content: bytes, rows: _Rows) -> Iterator[pa.RecordBatch]:
-    member, member_no = None, 0
+def _read_span(source: tuple[str, str], first: int, last: int, rows: _Rows) -> Iterator[pa.RecordBatch]:
+    member, member_no = None, first - 1
     try:
-        for member_no, (member, text) in enumerate(_members(content), start=1):
-            rows.add(source, member, member_no, 0)
-            reader = csv.reader(text)
-            # Names are compared trimmed and upper-cased; of equal ones the last column counts.
-            place = {h.strip().upper(): i for i, h in enumerate(next(reader, [])) if h}
-            keys, picks = list(place), list(place.values())
-            for row_no, record in enumerate(filter(None, reader), start=1):
-                width = len(record)
-                rows.add(source, member, member_no, row_no, keys, [record[i] if i < width else None for i in picks])
-                if rows.full:
-                    yield rows.take()
+        with opened(source[0]) as file:
+            for member_no, member, text in _members(file, first, last):
+                reader = csv.reader(text)
+                try:
+                    header = next(reader, [])
+                except Exception:
+                    rows.mark(source, member, member_no)
+                    raise
+                # Names are compared trimmed and upper-cased; of equal ones the last column counts.
+                place = {h.strip().upper(): i for i, h in enumerate(header) if h}
+                names = list(place)
+                layout = int.from_bytes(hashlib.sha256("\0".join(names).encode()).digest()[:8], signed=True)
+                rows.mark(source, member, member_no, layout, names)
+                # A column that is missing is read from the place behind the last, which is empty.
+                dims = _picker([place.get(name, -1) for name in (TIME_COLUMN, *KEPT_DIMENSIONS)])
+                cells = _picker([i for name, i in place.items() if re.match(_COUNTER, name)])
+                problem = None if TIME_COLUMN in place else f"Missing required columns: {TIME_COLUMN}"
+                width = len(header)
+                for row_no, record in enumerate(filter(None, reader), start=1):
+                    record += [None] * (width + 1 - len(record)) if len(record) <= width else [None]
+                    rows.add((*source, member, member_no, row_no, layout, None, *dims(record), problem), list(map(_number, cells(record))))
+                    if rows.full:
+                        yield rows.take()
     except Exception as error:  # an unreadable archive fails as a file, not as a job
-        rows.add(source, member, member_no + 1, 0, problem=str(error) or type(error).__name__)
+        rows.mark(source, member, member_no + 1, problem=str(error) or type(error).__name__)
 
 
-def expand_archives(archives: DataFrame) -> DataFrame:
-    """Archives (path, source_file, content) to one row per CSV record.
+def expand_archives(archives: DataFrame, span_members: int = SPAN_MEMBERS) -> DataFrame:
+    """Archives (path, source_file) to one row per CSV record; the files are read by path.
 
     A file is known by its path from here on; files of equal name in different folders are different files.
 
-    Row number 0 marks a member (also one without records) or, with ``problem``
-    set, the point where the archive could not be read.
+    Row number 0 marks a member (also one without records) and holds its column names or, with ``problem`` set, the
+    point where the archive could not be read. Counter text is a number, or NULL where blank or unreadable.
     """
-    def expand(batches):
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
         for batch in batches:
-            for path, name, content in zip(*batch.columns):
-                yield from _unpack((path.as_py(), name.as_py()), content.as_py(), rows)
+            for path, name, first, last in zip(*(column.to_pylist() for column in batch.columns)):
+                yield from _read_span((path, name), first, last, rows)
         if rows.head:
             yield rows.take()
 
-    return located(archives).select("path", "source_file", "content").mapInArrow(expand, EXPANDED)
-
-
-def located(archives: DataFrame) -> DataFrame:
-    """Archives with ``path``; where a listing has none, the name is the path."""
-    return archives if "path" in archives.columns else archives.withColumn("path", F.col("source_file"))
-
-
-def archive_content(files: DataFrame) -> DataFrame:
-    """Columns of a ``binaryFile`` scan as archives: source_file, file_hash and content."""
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), "path",
-        F.sha2("content", 256).alias("file_hash"), "content")
+    # Rows are few and small, what they stand for is not: they are dealt out evenly, by number and not by size.
+    tasks = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return archive_spans(archives, span_members).repartition(tasks).mapInArrow(expand, EXPANDED)
 
 
 # --- duplicates -----------------------------------------------------------------------------
@@ -144,37 +255,27 @@ def skip_duplicate_files(archives: DataFrame, audit: DataFrame) -> DataFrame:
 
 # --- rows -----------------------------------------------------------------------------------
 
-def _row_problem() -> Column:
-    text = F.col("row")[TIME_COLUMN]
-    time = strip_space(text)
-    missing = ~F.map_contains_key("row", F.lit(TIME_COLUMN))
-    return F.when(missing, F.concat(F.lit("Missing required columns: "), F.lit(TIME_COLUMN))).when(
-        text.isNull(), F.lit("COLLECTTIME has no value")).when(
-        _collect_time().isNull(), F.concat(F.lit("time data '"), time, F.lit("' does not match format '%Y%m%d%H%M%S'")))
-
-
-def _collect_time() -> Column:
-    text = strip_space(F.col("row")[TIME_COLUMN])
-    return F.when(F.length(text) == 14, stamp(text))
-
-
-def _counters() -> Column:
-    return F.map_filter("row", lambda name, _: name.rlike(r"^C[0-9]+$"))
-
-
 def parse_pm_rows(expanded: DataFrame) -> DataFrame:
     """Collect time, dimensions and counters per CSV record; ``problem`` where the record or archive is bad.
 
-    Member markers stay, as they carry the number of CSV members.
+    Member markers stay, as they carry the number of CSV members and their column names.
     """
-    is_row = F.col("row_no") > 0
-    dims = [blank_to_null(F.col("row")[name]).alias(name.lower()) for name in KEPT_DIMENSIONS]
-    extra = F.array_except(F.map_keys("row"), F.array(*[F.lit(c) for c in KNOWN_COLUMNS]))
-    unknown = F.filter(extra, lambda name: ~name.rlike(r"^C[0-9]+$"))
+    text = F.col(TIME_COLUMN.lower())
+    time = strip_space(text)
+    collect_time = F.when(F.length(time) == 14, stamp(time))
+    problem = F.when(text.isNull(), F.lit("COLLECTTIME has no value")).when(
+        collect_time.isNull(), F.concat(F.lit("time data '"), time, F.lit("' does not match format '%Y%m%d%H%M%S'")))
     return expanded.select(
-        "path", "source_file", "csv_name", "member_no", "row_no", _collect_time().alias("collect_time"), *dims,
-        _counters().alias("counters"), unknown.alias("unknown_columns"),
-        F.coalesce("problem", F.when(is_row, _row_problem())).alias("problem"))
+        "path", "source_file", "csv_name", "member_no", "row_no", collect_time.alias("collect_time"),
+        *[blank_to_null(name).alias(name) for name in _DIMENSIONS], "counters", "layout", "names",
+        F.coalesce("problem", F.when(F.col("row_no") > 0, problem)).alias("problem"))
+
+
+def layouts(parsed: DataFrame) -> DataFrame:
+    """(layout, counter_ids): the counters of each different header, read from the member markers alone."""
+    marked = parsed.where("row_no = 0 and layout is not null").select(
+        "layout", F.filter("names", lambda name: name.rlike(_COUNTER)).alias("counter_ids"))
+    return marked.dropDuplicates(["layout"])
 
 
 def failed_files(parsed: DataFrame) -> DataFrame:
@@ -194,20 +295,28 @@ def good_rows(parsed: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     return parsed.where("row_no > 0").join(failed.select("path"), "path", "left_anti")
 
 
-def unpivot_counters(rows: DataFrame) -> DataFrame:
-    """One fact row per counter cell. A blank or unreadable value is NULL and still a row."""
-    named = with_archive_fields(rows, "source_file")
-    cells = named.select("*", F.explode("counters").alias("counter_id", "_text"))
-    return cells.withColumn("counter_value", counter_number("_text")).select(*FACT_COLUMNS)
+def unpivot_counters(rows: DataFrame, headers: DataFrame) -> DataFrame:
+    """One fact row per counter cell of ``rows``, named by ``headers`` (from ``layouts``).
+
+    A blank or unreadable value is NULL and still a row. Where the caller has stored ``headers``, Spark knows how
+    small it is and broadcasts it by its size.
+    """
+    named = with_archive_fields(rows.join(headers, "layout"), "source_file")
+    cells = named.select("*", F.posexplode("counters").alias("_place", "counter_value"))
+    return cells.withColumn("counter_id", F.get("counter_ids", F.col("_place"))).select(*FACT_COLUMNS)
 
 
 def unknown_columns(parsed: DataFrame) -> DataFrame:
-    """Per file the columns that are neither a known dimension nor a counter.
+    """Per file the columns that are neither a known dimension nor a counter, of members that have records.
 
-    Records of one member share their columns, so the arrays are made distinct before they are taken apart.
+    Read from the member markers; of the records only their numbers per member are needed.
     """
-    per_member = parsed.where("row_no > 0").select("path", "source_file", "unknown_columns").distinct()
-    names = per_member.select("path", "source_file", F.explode("unknown_columns").alias("name")).distinct()
+    extra = F.array_except("names", F.array(*[F.lit(c) for c in KNOWN_COLUMNS]))
+    unknown = F.filter(extra, lambda name: ~name.rlike(_COUNTER))
+    markers = parsed.where("row_no = 0 and names is not null").select("path", "source_file", "member_no", unknown.alias("unknown"))
+    filled = parsed.where("row_no > 0").groupBy("path", "member_no").agg(F.count("*").alias("records"))
+    names = markers.where(F.size("unknown") > 0).join(filled, ["path", "member_no"], "left_semi").select(
+        "path", "source_file", F.explode("unknown").alias("name")).distinct()
     return names.groupBy("path", "source_file").agg(F.array_sort(F.collect_list("name")).alias("unknown_columns"))
 
 
@@ -222,7 +331,7 @@ def ingest_summary(archives: DataFrame, parsed: DataFrame, failed: DataFrame | N
     place = F.struct("member_no", "row_no")
     seen = seen.where(F.col("failed_at").isNull() | (place <= F.col("failed_at")))
     is_row, used = F.col("row_no") > 0, (F.col("row_no") > 0) & F.col("problem").isNull()
-    empty = F.size(F.filter(F.map_values("counters"), lambda v: counter_number(v).isNull()))
+    empty = F.size("counters") - F.size(F.array_compact("counters"))
     stats = seen.groupBy("path").agg(
         F.count_if((F.col("row_no") == 0) & F.col("problem").isNull()).alias("csv_files_found"),
         F.count_if(is_row).alias("input_rows_read"),

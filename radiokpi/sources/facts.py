@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from radiokpi.operators.activity import counter_activity, entity_activity
+from radiokpi.operators.entities import entity_shapes, keyed_facts, sync_entities
+from radiokpi.operators.topology import entity_places
 from radiokpi.schemas import FACT_COLUMNS
 from radiokpi.sources.archives import (
-    expand_archives, failed_files, good_rows, ingest_summary, located, parse_pm_rows, skip_duplicate_files, unpivot_counters,
+    expand_archives, failed_files, good_rows, ingest_summary, layouts, located, parse_pm_rows, skip_duplicate_files, unpivot_counters,
 )
-from radiokpi.tables import Tables
+from radiokpi.tables import Tables, stored
 
 AUDIT_SCHEMA = """
     source_file string, file_hash string, run_id string, trigger_type string, source_type string,
@@ -35,16 +37,8 @@ ACTIVITY = {
     "counter_activity": """dataset_family string, interval_start timestamp_ntz, collect_time timestamp_ntz,
         source_file string, counter_id string, row_count bigint, value_count bigint, load string""",
 }
-
-
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet folder by its schema; a folder that is not there yet has no rows."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+SHAPES = """dataset_family string, sbnid string, enbid string, enodebid string, cellid string, meid string, ani string,
+    row_count bigint, load string"""
 
 
 def write_facts(facts: DataFrame, path: str, *, load_id: int | str) -> None:
@@ -62,33 +56,82 @@ def write_facts(facts: DataFrame, path: str, *, load_id: int | str) -> None:
 
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """Fact table; ``collect_date`` stays beside the fact columns for partition pruning."""
-    return _stored(spark, path, FACT_SCHEMA).select(*FACT_COLUMNS, "collect_date")
+    return stored(spark, path, FACT_SCHEMA).select(*FACT_COLUMNS, "collect_date")
+
+
+def read_load(spark: SparkSession, root: str, load_id: int | str) -> DataFrame:
+    """Facts of one load below ``root``/facts."""
+    return stored(spark, f"{root}/facts/load={load_id}", FACT_SCHEMA).drop("load")
 
 
 def read_loaded_facts(spark: SparkSession, root: str) -> DataFrame:
     """Facts of the loads that the audit below ``root`` names; those of a load that broke off before it are left out."""
     runs = read_audit(spark, f"{root}/audit").select(F.col("run_id").substr(F.lit(6), F.lit(1000)).alias("load")).distinct()
-    return _stored(spark, f"{root}/facts", FACT_SCHEMA).join(runs, "load", "left_semi").select(*FACT_COLUMNS, "collect_date")
+    return stored(spark, f"{root}/facts", FACT_SCHEMA).join(runs, "load", "left_semi").select(*FACT_COLUMNS, "collect_date")
 
 
 def store_activity(tables: Tables, root: str, *, load_id: int | str = 0) -> Tables:
-    """Write both activity aggregates of one load's facts and hand back ``Tables`` whose reports read all loads.
+    """Write the aggregates of one load's facts and hand back ``Tables`` whose reports read all loads.
 
     The aggregates add up across loads, so a load writes its own share below ``load=<id>`` and never
     rebuilds or overwrites another's. Stored aggregates in ``tables`` are not read, only its facts.
     """
     facts = Tables(pm_sample=tables.pm_sample)
-    for name, build in {"entity_activity": entity_activity, "counter_activity": counter_activity}.items():
+    for name, build in {"entity_activity": entity_activity, "counter_activity": counter_activity, "entity_shapes": entity_shapes}.items():
         build(facts).write.mode("overwrite").parquet(f"{root}/{name}/load={load_id}")
     return tables.updated(**read_activity(tables.pm_sample.sparkSession, root))
 
 
 def read_activity(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Both activity aggregates over all loads below ``root``."""
-    counts = ("row_count", "value_count")
-    read = {name: _stored(spark, f"{root}/{name}", schema).drop("load") for name, schema in ACTIVITY.items()}
-    return {name: rows.groupBy(*[c for c in rows.columns if c not in counts]).agg(*[F.sum(c).alias(c) for c in counts])
-            for name, rows in read.items()}
+    """Both activity aggregates of all loads below ``root``, one row per load and key.
+
+    Reports sum counts and count distinct values, so they take the rows of several loads as they are: each report
+    aggregates once, and nothing is brought together before it.
+    """
+    return {name: stored(spark, f"{root}/{name}", schema).drop("load") for name, schema in ACTIVITY.items()}
+
+
+def sync_new_loads(spark: SparkSession, root: str, identity: DataFrame, *, after: str | None, folder: str) -> DataFrame:
+    """A9 for the loads that the syncs up to ``after`` have not seen: writes the identity table to ``folder`` and reads it back.
+
+    Beside it goes the list of the loads it holds, so a sync knows by the folder of the one before what is new. Only
+    the shapes of new loads are read; the loads are folders, and their ids a filter on these.
+    """
+    runs = read_audit(spark, f"{root}/audit").select(F.col("run_id").substr(F.lit(6), F.lit(1000)).alias("load")).distinct()
+    known = stored(spark, f"{after}/synced", "load string") if after else spark.createDataFrame([], "load string")
+    new = [r[0] for r in runs.join(known, "load", "left_anti").collect()]  # one small row a load since the last sync
+    shapes = stored(spark, f"{root}/entity_shapes", SHAPES).where(F.col("load").isin(new))
+    tables = Tables(entity_identity=identity, entity_shapes=shapes)
+    sync_entities(tables, new_only=True).write.mode("overwrite").parquet(f"{folder}/entity_identity")
+    runs.union(known).distinct().write.mode("overwrite").parquet(f"{folder}/synced")
+    return spark.read.parquet(f"{folder}/entity_identity")
+
+
+def store_by_entity(tables: Tables, root: str, *, buckets: int) -> Tables:
+    """Write the facts, keyed, and the entity dimension in equal buckets of the entity key, and hand them back in ``Tables``.
+
+    Joins on the key and aggregates by it then find their rows in place: no query moves the facts for them. A bucket is
+    one file; ``buckets`` is chosen so that one fits a task.
+    """
+    keyed = keyed_facts(tables)
+    for name, frame in {"pm_sample": keyed, "entity_places": entity_places(tables)}.items():
+        own = f"{name}_{uuid.uuid4().hex}"
+        frame.repartition(buckets, "logical_entity_key").write.mode("overwrite").bucketBy(buckets, "logical_entity_key").sortBy(
+            "logical_entity_key").option("path", f"{root}/{name}").saveAsTable(own)
+        frame.sparkSession.sql(f"DROP TABLE {own}")  # of the catalog; the files stay
+    return tables.updated(**read_by_entity(keyed.sparkSession, root, buckets=buckets))
+
+
+def read_by_entity(spark: SparkSession, root: str, *, buckets: int) -> dict[str, DataFrame]:
+    """Both tables of ``store_by_entity``, in a session that need not be the one that wrote them."""
+    found = {}
+    for name in ("pm_sample", "entity_places"):
+        own = f"{name}_{uuid.uuid4().hex}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{root}/{name}").schema)
+        spark.sql(f"CREATE TABLE {own} ({columns}) USING parquet CLUSTERED BY (logical_entity_key) SORTED BY (logical_entity_key) "
+                  f"INTO {int(buckets)} BUCKETS LOCATION '{root}/{name}'")
+        found[name] = spark.table(own)
+    return found
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:
@@ -102,7 +145,7 @@ def read_audit(spark: SparkSession, path: str) -> DataFrame:
 
 def ingest_batch(archives: DataFrame, root: str, *, load_id: int | str, processed_at: datetime, trigger_type: str = "batch",
                  source_type: str = "local") -> None:
-    """S4–S10 and G11 for one batch of archives (path, source_file, file_hash, content).
+    """S4–S10 and G11 for one batch of archives (path, source_file, file_hash), read by path.
 
     Parsed records are written once to a staging table below ``root``; facts and
     audit both read that, so nothing is unpacked twice and a lost executor repeats
@@ -113,21 +156,22 @@ def ingest_batch(archives: DataFrame, root: str, *, load_id: int | str, processe
     staging = f"{root}/staging/load={load_id}"
     # Hashes already loaded by other loads; this load's own audit must not count when it is rerun.
     audit = read_audit(spark, f"{root}/audit").where(F.col("run_id") != f"load-{load_id}")
-    # Hashes are taken once; duplicates are decided on the list of files, without their bytes.
+    # Hashes are taken once; duplicates are decided on the list of files.
     archives = located(archives)
     archives.select("path", "source_file", "file_hash").write.mode("overwrite").parquet(f"{staging}/listing")
     marked = skip_duplicate_files(spark.read.parquet(f"{staging}/listing"), audit)
     marked.write.mode("overwrite").parquet(f"{staging}/files")
     files = spark.read.parquet(f"{staging}/files")
-    fresh = archives.join(files.where("duplicate_of is null").select("path"), "path", "left_semi")
-    parse_pm_rows(expand_archives(fresh)).write.mode("overwrite").parquet(f"{staging}/records")
+    parse_pm_rows(expand_archives(files.where("duplicate_of is null"))).write.mode("overwrite").parquet(f"{staging}/records")
     parsed = spark.read.parquet(f"{staging}/records")
 
     failed_files(parsed).write.mode("overwrite").parquet(f"{staging}/failed")
     failed = spark.read.parquet(f"{staging}/failed")
+    layouts(parsed).write.mode("overwrite").parquet(f"{staging}/layouts")
+    headers = spark.read.parquet(f"{staging}/layouts")
 
-    write_facts(unpivot_counters(good_rows(parsed, failed)), f"{root}/facts", load_id=load_id)
-    store_activity(Tables(pm_sample=_stored(spark, f"{root}/facts/load={load_id}", FACT_SCHEMA)), root, load_id=load_id)
+    write_facts(unpivot_counters(good_rows(parsed, failed), headers), f"{root}/facts", load_id=load_id)
+    store_activity(Tables(pm_sample=read_load(spark, root, load_id)), root, load_id=load_id)
     summary = ingest_summary(files, parsed, failed).select(
         "*", F.col("path").alias("final_file_path"), F.lit(f"load-{load_id}").alias("run_id"), F.lit(trigger_type).alias("trigger_type"),
         F.lit(source_type).alias("source_type"), F.lit(processed_at).cast("timestamp_ntz").alias("processed_at"),

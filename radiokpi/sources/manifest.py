@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from radiokpi.functions import first_per, stamp
 from radiokpi.schemas import ARCHIVE_PREFIXES, FAMILIES, INTERVAL_MINUTES, REVISION_POLICIES
+from radiokpi.tables import stored
 
 # Archive file name pattern.
 NAME = r"(?i)^(UMEID(?:_ITBBU)?(?:_ITBBUPLAT|_LTEFDD)?_PM_COMMON_ZTE_)(\d{8})_(\d{4})(?:_R(\d+))?\.(tar\.gz|zip)$"
@@ -97,18 +98,48 @@ def select_archives(listing: DataFrame, *, start: datetime | None = None, end: d
     return revision_policy(filter_time_range(parsed, start, end), policy)
 
 
+LISTING = "path string, remote_size_bytes bigint, remote_modified_at timestamp, root_family string"
+
+
+def _listing(files: DataFrame, family: str) -> DataFrame:
+    return files.select("path", F.col("length").alias("remote_size_bytes"), F.col("modificationTime").alias("remote_modified_at"),
+                        F.lit(family).alias("root_family"))
+
+
 def discover_files(spark: SparkSession, roots: dict[str, str], *, families: Sequence[str] | None = None,
                    start: datetime | None = None, end: datetime | None = None, policy: str = "additive") -> DataFrame:
-    """Files under each family root whose name says that family. File contents are not read."""
+    """Files below each family root whose name says that family. File contents are not read; empty files are none."""
+    check_families(families)
+    listing = spark.createDataFrame([], LISTING)
+    for family in families or roots:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots[family])
+        listing = listing.unionByName(_listing(files, family))
+    return discovered(listing, start=start, end=end, policy=policy)
+
+
+def discover_new_files(spark: SparkSession, roots: dict[str, str], state: str, *, run_id: str, families: Sequence[str] | None = None,
+                       start: datetime | None = None, end: datetime | None = None, policy: str = "additive") -> DataFrame:
+    """S2 for files that no earlier run has taken: each root is a file stream whose log below ``state`` is the offset.
+
+    What a run finds is written below its id and stays there, so a scan is never lost between runs; a run that broke
+    off is made again with the same id and adds what it had not taken yet. Policies apply to the new files.
+    """
     check_families(families)
-    listings = [
-        spark.read.format("binaryFile").load(roots[family]).select(
-            "path", F.col("length").alias("remote_size_bytes"), F.col("modificationTime").alias("remote_modified_at"),
-            F.lit(family).alias("root_family"))
-        for family in (families or roots)]
-    listing = listings[0]
-    for other in listings[1:]:
-        listing = listing.unionByName(other)
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    found = f"{state}/found/run={run_id}"
+    queries = []
+    for family in families or roots:
+        name = family.replace("/", "_")
+        files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(roots[family])
+
+        def store(batch: DataFrame, batch_id: int, name: str = name) -> None:
+            batch.write.mode("overwrite").parquet(f"{found}/family={name}/batch={batch_id}")
+
+        queries.append(_listing(files, family).writeStream.foreachBatch(store).option(
+            "checkpointLocation", f"{state}/offsets/{name}").trigger(availableNow=True).start())
+    for query in queries:
+        query.awaitTermination()
+    listing = stored(spark, found, LISTING).select("path", "remote_size_bytes", "remote_modified_at", "root_family")
     return discovered(listing, start=start, end=end, policy=policy)
 
 

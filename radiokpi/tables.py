@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,6 +28,16 @@ class Tables(dict):
         return cls({name: spark.read.parquet(f"{directory}/{name}") for name in names})
 
 
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet folder by its schema; a folder that is not there yet has no rows."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

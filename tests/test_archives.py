@@ -47,24 +47,81 @@ def folder(tmp_path):
 
 
 def load(spark, folder):
-    return ar.archive_content(spark.read.format("binaryFile").load(str(folder)))
+    return ar.archive_files(spark.read.format("binaryFile").load(str(folder)))
 
 
 def test_members_and_markers(spark, folder):
     rows = ar.expand_archives(load(spark, folder).where(F.col("source_file") == GOOD)).collect()
     assert [(r.csv_name, r.member_no, r.row_no) for r in rows] == [("a/one.CSV", 1, 0), ("a/one.CSV", 1, 1), ("a/one.CSV", 1, 2), ("two.csv", 2, 0)]
-    assert rows[1].row["COLLECTTIME"] == "20260304143000" and rows[1].row["ENBID"] == "88" and rows[1].row["C1"] == "3_000.25"
+    assert rows[1].collecttime == "20260304143000" and rows[1].enbid == "88" and rows[1].counters == [3000.25, None]
+    assert rows[0].names[:4] == ["MEID", "COLLECTTIME", "ENBID", "CELLID"] and {r.layout for r in rows} == {rows[0].layout}
 
 
 def test_later_equal_header_wins_and_short_rows_are_null(spark, tmp_path):
     write_zip(tmp_path / "h.zip", {"a.csv": "COLLECTTIME,C1, c1 ,C2\n20260304143000,1,2\n\n20260304143000,1,2,3,4\n"})
-    rows = [r.row for r in ar.expand_archives(load(spark, tmp_path)).where("row_no > 0").collect()]
-    assert rows == [{"COLLECTTIME": "20260304143000", "C1": "2", "C2": None}, {"COLLECTTIME": "20260304143000", "C1": "2", "C2": "3"}]
+    head, *rows = ar.expand_archives(load(spark, tmp_path)).orderBy("row_no").collect()
+    assert head.names == ["COLLECTTIME", "C1", "C2"]
+    assert [(r.collecttime, r.counters) for r in rows] == [("20260304143000", [2.0, None]), ("20260304143000", [2.0, 3.0])]
+
+
+def test_members_of_one_archive_are_read_by_many_tasks(spark, tmp_path):
+    text = "COLLECTTIME,ANI,C1\n20260304143000,a,1\n"
+    write_zip(tmp_path / "m.zip", {f"{n:02d}.csv": text for n in range(20)} | {"skip.txt": "x"})
+    write_tar(tmp_path / "m.tar.gz", {f"{n:02d}.csv": text for n in range(20)})
+    files = load(spark, tmp_path)
+    spans = sorted((r.source_file, r.first, r.last) for r in ar.archive_spans(files, 3).collect())
+    assert spans == [("m.tar.gz", 1, 0), *[("m.zip", n, min(n + 2, 20)) for n in range(1, 21, 3)]]
+    rows = ar.expand_archives(files, 3).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows if r.source_file == "m.zip"}) == 4  # all partitions of the session
+    for name in ("m.zip", "m.tar.gz"):
+        assert sorted((r.member_no, r.csv_name, r.row_no) for r in rows if r.source_file == name) == [
+            (n + 1, f"{n:02d}.csv", k) for n in range(20) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("write", [write_zip, write_tar])
+def test_memory_does_not_grow_with_the_archive(tmp_path, write):
+    import tracemalloc
+
+    def peak(members: int) -> int:
+        path = tmp_path / f"{members}.bin"
+        write(path, {f"{n}.csv": "COLLECTTIME,C1,C2\n" + "20260304143000,1,2\n" * 30_000 for n in range(members)})
+        tracemalloc.start()
+        rows = ar._Rows()
+        sent = sum(batch.num_rows for batch in ar._read_span((str(path), "x"), 1, 0, rows))
+        used = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sent + len(rows.head) == members * 30_001
+        return used
+
+    small = peak(1)
+    assert peak(6) < 1.5 * small
+
+
+def test_a_broken_archive_fails_where_it_breaks(spark, tmp_path):
+    write_zip(tmp_path / "b.zip", {f"{n}.csv": "COLLECTTIME,ANI,C1\n" + f"20260304143000,a{n},1\n" * 50 for n in range(3)})
+    data = bytearray((tmp_path / "b.zip").read_bytes())
+    at = data.find(b"a1,1")
+    data[at] ^= 1  # stored members are protected by a checksum
+    (tmp_path / "b.zip").write_bytes(bytes(data))
+    parsed = ar.parse_pm_rows(ar.expand_archives(load(spark, tmp_path), 1))
+    bad = ar.failed_files(parsed).collect()
+    assert [(b.source_file, b.failed_at.member_no) for b in bad] == [("b.zip", 3)] and "CRC" in bad[0].error_message
+
+
+def test_files_with_different_headers_in_one_load(spark, tmp_path):
+    write_zip(tmp_path / "UMEID_LTEFDD_PM_COMMON_ZTE_20260304_1430.zip", {
+        "a.csv": "C2,COLLECTTIME,ODD,C1,ANI\n2,20260304143000,x,1,p\n", "b.csv": "ANI,C9,COLLECTTIME\nq,9,20260304143000\n",
+        "empty.csv": "COLLECTTIME,STRAY\n", "none.csv": ""})
+    parsed = ar.parse_pm_rows(ar.expand_archives(load(spark, tmp_path)))
+    cells = ar.unpivot_counters(ar.good_rows(parsed), ar.layouts(parsed))
+    assert "map<" not in cells._jdf.queryExecution().analyzed().toString()
+    assert sorted((c.ani, c.counter_id, c.counter_value) for c in cells.collect()) == [("p", "C1", 1.0), ("p", "C2", 2.0), ("q", "C9", 9.0)]
+    assert [r.unknown_columns for r in ar.unknown_columns(parsed).collect()] == [["ODD"]]  # STRAY has no records
 
 
 def test_unpivot(spark, folder):
     parsed = ar.parse_pm_rows(ar.expand_archives(load(spark, folder).where(F.col("source_file") == GOOD)))
-    cells = ar.unpivot_counters(ar.good_rows(parsed)).orderBy("ani", "counter_id").collect()
+    cells = ar.unpivot_counters(ar.good_rows(parsed), ar.layouts(parsed)).orderBy("ani", "counter_id").collect()
     assert [(c.ani, c.counter_id, c.counter_value) for c in cells] == [
         ("west-0", "C1", 3000.25), ("west-0", "C2", None), ("west-1", "C1", 3000.25), ("west-1", "C2", None)]
     first = cells[0]
@@ -170,7 +227,7 @@ def test_equal_names_in_two_folders(spark, tmp_path):
             (folder / part).mkdir(parents=True)
             write_zip(folder / part / name, members)
         files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(folder))
-        fa.ingest_batch(ar.archive_content(files), root, load_id=0, processed_at=datetime(2026, 3, 5))
+        fa.ingest_batch(ar.archive_files(files), root, load_id=0, processed_at=datetime(2026, 3, 5))
         other = ("SKIPPED_DUPLICATE", 0) if case == "same bytes" else ("FAILED", 0)
         assert statuses(spark, root) == sorted([(name, "SUCCESS", 1), (name, *other)])
         assert [r.ani for r in fa.read_loaded_facts(spark, root).collect()] == ["p"]
