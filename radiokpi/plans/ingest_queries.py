@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from radiokpi.operators import coverage as c, merging as m
 from radiokpi.operators.kpi_results import latest_window
@@ -165,11 +165,14 @@ def _names(t) -> DataFrame:
 
 
 def _discovered(t) -> DataFrame:
-    """A scan of folders that hold a file for every name of the registry."""
+    """A scan of folders that hold a file for every name of the registry, equal names in different directories."""
     folder, spark = _folder(t), t.file_registry.sparkSession
     roots = {family: f"{folder}/{family.replace('/', '_')}" for family in (ITBBU_CELL, SDR_CELL)}
     below = F.when(F.col("root_family") == ITBBU_CELL, roots[ITBBU_CELL]).otherwise(roots[SDR_CELL])
-    small_files(_names(t).select(F.concat(below, F.lit("/"), F.regexp_replace("path", "^/", "")).alias("path"))).write.format("noop").mode("overwrite").save()
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    place = F.when(F.col("path").like("/pm/%/%"), F.row_number().over(Window.partitionBy(name, "root_family").orderBy("id"))).otherwise(0)
+    paths = _names(t).select(F.concat_ws("/", below, F.lit("pm"), place.cast("string"), name).alias("path")).distinct()
+    small_files(paths).write.format("noop").mode("overwrite").save()
     found = mf.discover_new_files(spark, roots, f"{folder}/scans", run_id="1")
     return found.withColumn("path", F.regexp_replace("path", r"^.*/PM_[^/]*/", "/")).drop("remote_size_bytes", "remote_modified_at")
 
@@ -379,7 +382,8 @@ QUERIES = [
     # --- names and listings
     Query("archive_manifest", lambda t: mf.archive_manifest(_names(t)), f"select {_NAMED} from {_NAMES}"),
     Query("discover_files", _discovered, f"""
-        select * exclude (id, root_family) from (select {_NAMED} from {_NAMES}) where dataset_family = root_family"""),
+        select * exclude (id, root_family) replace ('/pm/' || row_number() over (partition by filename, root_family order by id) || '/' || filename as path)
+        from (select {_NAMED} from {_NAMES}) where dataset_family = root_family"""),
 
     # --- archives
     Query("expand_archives", lambda t: ar.expand_archives(archives(t, _folder(t))).groupBy("source_file", "csv_name").agg(

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from radiokpi.plans.derived import DerivedTables, Dialect, definitions, with_parts
 from radiokpi.tables import Tables
 
-DIGITS = 6
-# Far below the last digit: an exact half of it, such as 0.01 / 32, then rounds the same way in both engines.
-NUDGE = 0.00000001234
+# (digits, what is added before rounding) below and from ``LARGE`` on: about twelve digits that count. The added number is
+# far below the last digit; an exact half of it, such as 0.01 / 32, then rounds the same way whatever the order of summation.
+LARGE = 1_000_000
+SMALL_DIGITS, LARGE_DIGITS = (6, 0.00000001234), (4, 0.000001234)
 
 _KEY = """case dataset_family
   when 'PM/sdr/ltefdd' then concat('family=', dataset_family, '|sbnid=', sbnid, '|enodebid=', enodebid, '|cellid=', cellid)
@@ -102,7 +103,10 @@ class Query:
         parts = definitions(Dialect(spark=False)) | SHARED
         text = f"select * from ({self.sql}) as result"
         if self.doubles:
-            rounded = ", ".join(f"round({c}::double + {NUDGE}::double, {DIGITS}) as {c}" for c in self.doubles.split())
+            def shown(c: str, digits: int, nudge: float) -> str:
+                return f"round({c}::double + {nudge:.11f}::double, {digits})"
+
+            rounded = ", ".join(f"if(abs({c}) < {LARGE}, {shown(c, *SMALL_DIGITS)}, {shown(c, *LARGE_DIGITS)}) as {c}" for c in self.doubles.split())
             text = f"select * replace ({rounded}) from ({self.sql}) as result"
         return with_parts(text, parts)
 
@@ -112,7 +116,9 @@ def comparable(frame: DataFrame) -> DataFrame:
     def shown(field: T.StructField):
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.DecimalType)):
-            return F.round(column.cast("double") + F.lit(NUDGE), DIGITS).alias(field.name)
+            value = column.cast("double")
+            small, large = (F.round(value + F.lit(nudge), digits) for digits, nudge in (SMALL_DIGITS, LARGE_DIGITS))
+            return F.when(F.abs(value) < LARGE, small).otherwise(large).alias(field.name)
         if isinstance(field.dataType, T.ArrayType):
             return F.array_join(column, ",", "NULL").alias(field.name)
         if isinstance(field.dataType, T.DateType):
