@@ -9,18 +9,25 @@ are computed and none is collected. Dimension tables are written when first used
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
 import os
 import time
 import uuid
+import zipfile
+from datetime import datetime
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from radiokpi.plans.archive_tables import written_file
 from radiokpi.plans.derived import DerivedTables
 from radiokpi.plans.registry import ALL
-from radiokpi.sources.facts import read_activity, read_facts, store_activity, write_facts
+from radiokpi.sources.facts import ingest_batch, read_activity, read_facts, store_activity, write_facts
 from radiokpi.tables import shared_folder
 
+COUNTERS = 200
 HEADLINE = [
     "counts_by_source_file", "counter_agg_by_time_counter", "counter_agg_by_entity_time_counter", "distinct_entities",
     "sync_entities", "entity_counter_coverage", "family_interval_coverage", "daily_family_coverage", "site_coverage",
@@ -31,7 +38,33 @@ HEADLINE = [
 ]
 
 
+def wide_archives(lines: DataFrame, folder: str) -> DataFrame:
+    """Archives (path, source_file, file_hash) of one record for every 20th line, with ``COUNTERS`` counters each."""
+    def written(batches):
+        header = ",".join(["COLLECTTIME", "SBNID", "ENODEBID", "CELLID", *(f"C{k}" for k in range(COUNTERS))])
+        for batch in batches:
+            rows = []
+            for part, keys, values in zip(*(c.to_pylist() for c in batch.columns)):
+                text = "\n".join([header, *(f"20260304143000,1,{k},2," + ",".join([str(v)] * COUNTERS) for k, v in zip(keys, values))])
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as box:
+                    box.writestr(zipfile.ZipInfo("pm.csv"), text)
+                name = f"UMEID_LTEFDD_PM_COMMON_ZTE_20260304_1430_R{part}.zip"
+                with written_file(f"{folder}/in/{name}") as file:
+                    file.write(data.getvalue())
+                rows.append((f"{folder}/in/{name}", name, hashlib.sha256(data.getvalue()).hexdigest()))
+            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3,
+                                  names=["path", "source_file", "file_hash"])
+
+    chosen = lines.where("l_orderkey % 20 = 0").groupBy((F.col("l_orderkey") / 20 % 64).cast("int").alias("part")).agg(
+        F.collect_list("l_orderkey").alias("keys"), F.collect_list(F.col("l_quantity").cast("double")).alias("values"))
+    chosen.mapInArrow(written, "path string, source_file string, file_hash string").write.parquet(f"{folder}/listing")
+    return lines.sparkSession.read.parquet(f"{folder}/listing")
+
+
 def main() -> None:
+    # Workers unpickle functions of the library by name.
+    os.environ["PYTHONPATH"] = os.pathsep.join([os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH", "")])
     directory = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -57,6 +90,9 @@ def main() -> None:
     tables = DerivedTables(spark, directory, **given, pm_sample=read_facts(spark, f"{folder}/facts"))
     times["store_activity"] = timed(lambda: store_activity(tables, folder))
     tables = tables.updated(**read_activity(spark, folder))
+    # One load of archives as they arrive: unpacked, parsed, deduplicated, written and audited.
+    packed = wide_archives(given["lineitem"], f"{folder}/wide")
+    times["ingest_wide_archives"] = timed(lambda: ingest_batch(packed, f"{folder}/wide/out", load_id=0, processed_at=datetime(2026, 3, 5)))
     run("site_coverage")
     run("kpi_results_rollup")
     times |= {name: run(name) for name in HEADLINE}

@@ -267,6 +267,9 @@ def test_stream_intervals_are_complete(spark, tmp_path):
         rows = [(datetime(2026, 3, 4, h, 5), "F", "C1", float(h)) for h in batch]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         jobs.stream_intervals(spark.readStream.schema(schema).parquet(source), root).awaitTermination()
+    # What is stored does not follow the batches: there is no folder but the state's.
+    import os
+    assert os.listdir(root) == ["checkpoint"]
     got = sorted(map(tuple, jobs.interval_totals(spark, root).collect()))
     assert got == sorted(map(tuple, jobs.interval_statistics(spark.read.schema(schema).parquet(source)).collect()))
     assert [(r[0].hour, r[3], r[4]) for r in got] == [(14, 3, 42.0), (20, 2, 40.0), (23, 1, 23.0)]
@@ -285,5 +288,8 @@ def test_revisions_replace_across_batches(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         jobs.stream_revisions(stream, root).awaitTermination()
+    # A batch reads the revisions of its days only: the days are folders.
+    plan = jobs.revisions_of(spark, root, [t1.date()])._jdf.queryExecution().executedPlan().toString()
+    assert "day#" in plan.split("PartitionFilters: [")[1].split("]")[0]
     got = sorted((r.interval_start, r.revision, r.counter_value) for r in jobs.latest_revisions(spark, root).collect())
     assert got == [(t1, 1, 3.0), (t1, 1, 5.0), (t2, 1, 2.0)]

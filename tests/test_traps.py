@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from radiokpi.operators import audit, coverage, entities, kpi_definitions, kpi_ratio, kpi_results, kpi_semantic, registry, snapshots
 from radiokpi.schemas import ITBBU_CELL, SDR_CELL
@@ -60,6 +61,22 @@ def test_denominator_only_rows_stay_in_results_but_not_in_verified(spark):
     assert kpi_semantic.verified_entity_time(t, family="prb").count() == 0
 
 
+def test_execution_check_reads_the_facts_once(spark, tmp_path):
+    rows = [fact("C1", 1.0), fact("C2", 2.0), fact("C1", 1.0, cell="2"), fact("C2", 5.0, time=T2), fact("C1", 3.0, time=T2), fact("C9", 1.0)]
+    t = tables(spark, rows)
+    t.pm_sample.write.parquet(str(tmp_path / "facts"))
+    t = t.updated(pm_sample=spark.read.parquet(str(tmp_path / "facts")))
+    checked = kpi_semantic.execution_validation(t, family="prb")
+    assert checked._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert [tuple(r) for r in checked.collect()] == [("dl_prb_utilization", SDR_CELL, 2, "VERIFIED", 2, 1, 2, 2, 1)]
+    # An input whose counter is not usable is covered but executes nothing; one without a counter counts nothing.
+    odd = t.counter_dictionary.withColumn("unit", F.when(F.col("counter_id") == "C2", "number").otherwise(F.col("unit")))
+    assert [tuple(r)[4:] for r in kpi_semantic.execution_validation(t.updated(counter_dictionary=odd), family="prb").collect()] == [(2, 1, 0, 0, 0)]
+    few = t.counter_dictionary.where("counter_id = 'C1'")
+    assert [tuple(r)[2:] for r in kpi_semantic.execution_validation(t.updated(counter_dictionary=few), family="prb").collect()] == [
+        (2, "VERIFIED", 0, 0, 0, 0, 0)]
+
+
 def test_unit_is_case_sensitive_in_verified_only(spark):
     t = tables(spark, [fact("C1", 1.0), fact("C2", 4.0)])
     from pyspark.sql import functions as F
