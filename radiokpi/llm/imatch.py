@@ -8,8 +8,8 @@ likeness compares a common level: the share of sub-lexicons with equal hashes am
 
 The lexicon is joined, never broadcast, and only the terms that a document's sub-lexicons can hold are sent to it.
 
-Defined results: null and empty texts have the fingerprint of no terms; a document none of whose terms lie in the
-band is hashed over all its terms at once; equal texts have equal fingerprints; repeated rows and equal doc_ids are
+Defined results: null and empty texts have the fingerprint of no terms; a document none of whose candidate terms (those
+that its sub-lexicons can hold) lie in the band is hashed over all its terms at once; equal texts have equal fingerprints; repeated rows and equal doc_ids are
 ordered by a hash of their text, null doc_ids first; no rows give no rows. Extra columns are not read.
 """
 

@@ -6,8 +6,9 @@ language and tokenizer version are sums of signed entries, so a batch only adds
 rebuilt. A batch is committed once: everything it writes lies below its id, and the commit marker is written last.
 A batch that was lost midway is written again from its start; one that is committed is left alone.
 
-Entries are kept by document (hash buckets of the ledger), and a batch joins only the live entries of the documents it
-changes. ``compacted`` folds old batches into one.
+Entries are kept by batch. To find the live entries of the documents it changes, a batch sums the ledger of all batches
+before it, so it costs as much as that history; ``compacted`` folds old batches into one. Batches are applied one after
+the other: two that change one document at the same time would both retract its entry.
 
 Defined results: null text has 0 tokens; null source, language and doc_id are values of their own; several changes of
 one document in a batch count in order of ``seq``, the last wins; a delete of an unknown document and a repeated
