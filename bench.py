@@ -96,7 +96,9 @@ def main() -> None:
     run("site_coverage")
     run("kpi_results_rollup")
     times |= {name: run(name) for name in HEADLINE}
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec",
+    # The archive ingest is shown but not added, so that totals of earlier rounds compare.
+    total = sum(t for name, t in times.items() if name != "ingest_wide_archives")
+    print(json.dumps({"metric": "headline_queries_total", "value": round(total, 3), "unit": "sec",
                       "queries": times, "sf": directory.rsplit("sf", 1)[-1]}))
     spark.stop()
 
