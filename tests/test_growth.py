@@ -1,7 +1,14 @@
 """What the registered queries move, store and hold as their tables grow."""
 
+import hashlib
+import io
+import tarfile
+import zipfile
+
 from radiokpi.plans import ingest_queries as iq
+from radiokpi.plans.archive_tables import archives
 from radiokpi.plans.derived import DerivedTables
+from radiokpi.sources import archives as ar
 
 DIRECTORY = "/root/testdata/sf0.001"
 
@@ -14,3 +21,42 @@ def test_fact_stream_arrives_as_wide_records_in_several_batches(spark, tmp_path)
     assert arrived.count() == tables.lineitem.count() and len(arrived.inputFiles()) >= iq.BATCHES
     plan = stream._jdf.queryExecution().analyzed().toString()
     assert "Repartition" not in plan
+
+
+def test_archives_lie_in_as_many_files_as_tasks_and_are_read_in_place(spark, tmp_path):
+    packed = archives(DerivedTables(spark, DIRECTORY), str(tmp_path), copies="copy_")
+    files = [p for p in tmp_path.glob("*/*") if p.parent.name in ("in", "more") and not p.name.startswith(".")]
+    assert packed.count() > 1000 and len(files) <= 2 * spark.sparkContext.defaultParallelism
+    row = packed.where("source_file like 'copy%.zip'").first()
+    with ar.opened(row.path) as file:
+        content = file.read()
+    assert hashlib.sha256(content).hexdigest() == row.file_hash and content[:2] == b"PK"
+    assert {r.file_hash for r in ar.archive_files(packed.where(packed.path == row.path)).collect()} == {row.file_hash}
+
+
+def test_a_large_archive_in_a_container_is_read_as_a_stretch(tmp_path):
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as box:  # stored, so it is as large as its lines
+        box.writestr("a.csv", "COLLECTTIME,C1\n" + "20260301000000,1\n" * 100_000)
+    content = held.getvalue()
+    (tmp_path / "c").write_bytes(b"before" + content + b"behind")
+    path = f"{tmp_path}/c#6+{len(content)}/a.zip"
+    assert len(content) > 1 << 20 and not isinstance(ar.opened(path), io.BytesIO)
+    rows = ar._Rows()
+    sent = sum(batch.num_rows for batch in ar._read_span((path, "a.zip"), 1, 0, rows)) + len(rows.head)
+    assert sent == 100_001
+    assert ar._spans(path, 1) == [(1, 1)] == ar._spans(path, 5)
+
+
+def test_a_torn_gzip_archive_keeps_the_records_before_the_tear(tmp_path):
+    lines = "COLLECTTIME,C1\n" + "".join(f"20260301000000,{n * 7919 % 10007}\n" for n in range(20_000))
+    packed = io.BytesIO()
+    with tarfile.open(fileobj=packed, mode="w:gz") as box:
+        entry = tarfile.TarInfo("a.csv")
+        entry.size = len(lines)
+        box.addfile(entry, io.BytesIO(lines.encode()))
+    (tmp_path / "t.tar.gz").write_bytes(packed.getvalue()[:-4000])
+    rows = ar._Rows()
+    for _ in ar._read_span((f"{tmp_path}/t.tar.gz", "t"), 1, 0, rows):
+        pass
+    assert rows.head[-1][-1] and len(rows.head) > 100
