@@ -83,8 +83,9 @@ def packed(lang: str, words: list[bytes], columns: list[np.ndarray], n: np.ndarr
 def unpacked(size: int, letters: int, words: bytes, numbers: bytes) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
     held = CODEC.decompress(words, letters, asbytes=True).split(b" ") if letters else []
     planes = np.frombuffer(CODEC.decompress(numbers, 4 * size * (DEPTH + 1), asbytes=True), np.uint8).reshape(DEPTH + 1, 4, size)
-    columns = [np.ascontiguousarray(p.T).view("<u4")[:, 0].astype(np.int64) for p in planes]
-    return held, columns[:DEPTH], columns[DEPTH]
+    # Numbers of words fit 32 bits, counts are added up in 64.
+    columns = [np.ascontiguousarray(p.T).view("<i4")[:, 0] for p in planes[:DEPTH]]
+    return held, columns, np.ascontiguousarray(planes[DEPTH].T).view("<u4")[:, 0].astype(np.int64)
 
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -111,7 +112,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, parts in keys.items():
             codes, n = np.unique(np.concatenate(parts), return_counts=True)
             if len(codes):
-                columns = [codes >> (WORD_BITS * (DEPTH - 1 - k)) & (1 << WORD_BITS) - 1 for k in range(DEPTH)]
+                columns = [(codes >> (WORD_BITS * (DEPTH - 1 - k)) & (1 << WORD_BITS) - 1).astype(np.int32) for k in range(DEPTH)]
                 rows.append(part_of(lang, words, columns, n, slice(None)))
         return batch_of(rows, RUN)
 
@@ -135,7 +136,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def part_of(lang: str, words: list[bytes], columns: list[np.ndarray], n: np.ndarray, rows) -> tuple:
     """The run of some rows of another, with the words that these hold."""
     columns = [c[rows] for c in columns]
-    used = np.unique(np.concatenate([*columns, [0]]))
+    used = np.unique(np.concatenate([*columns, np.zeros(1, columns[0].dtype)]))
     return packed(lang, [words[k - 1] for k in used[1:].tolist()], [np.searchsorted(used, c) for c in columns], n[rows])
 
 
@@ -235,33 +236,40 @@ class Subtree:
 
     def __init__(self) -> None:
         self.numbers = Numbers({b"": 0})
-        self.rows = np.zeros((DEPTH + 1, 0), np.int64)
-        self.more: list[np.ndarray] = []
+        # Numbers of the words (32 bits) by depth, and last the counts (64 bits).
+        self.columns = [np.zeros(0, np.int32)] * DEPTH + [np.zeros(0, np.int64)]
+        self.more: list[list[np.ndarray]] = []
         self.pending = 0
 
     def add(self, words: list[bytes], columns: list[np.ndarray], n: np.ndarray) -> None:
-        own = np.array([0, *map(self.numbers.__getitem__, words)], np.int64)
-        self.more.append(np.stack([*(own[c] for c in columns), n]))
+        own = np.array([0, *map(self.numbers.__getitem__, words)], np.int32)
+        self.more.append([*(own[c] for c in columns), n])
         self.pending += len(n)
-        if self.pending > max(BUDGET, self.rows.shape[1]):
+        if self.pending > max(BUDGET // 2, len(self.columns[0])):
             self.settle()
 
     def settle(self) -> None:
-        """Sorts the suffixes and adds up equal ones."""
-        rows = np.concatenate([self.rows, *self.more], axis=1)
+        """Sorts the suffixes and adds up equal ones, one column after the other."""
+        columns = []
+        for k in range(DEPTH + 1):
+            columns.append(np.concatenate([self.columns[k], *(part[k] for part in self.more)]))
+            self.columns[k] = columns[k][:0]
+            for part in self.more:
+                part[k] = None
         self.more, self.pending = [], 0
-        order = np.lexsort(rows[DEPTH - 1::-1])
-        rows = rows[:, order]
-        first = np.flatnonzero(branches(rows)[-1])
-        self.rows = rows[:, first]
-        if len(first):
-            self.rows[DEPTH] = np.add.reduceat(rows[DEPTH], first)
+        order = np.lexsort(columns[DEPTH - 1::-1])
+        for k in range(DEPTH + 1):
+            columns[k] = columns[k][order]
+        first = np.flatnonzero(branches(columns)[-1])
+        for k in range(DEPTH):
+            self.columns[k], columns[k] = columns[k][first], None
+        self.columns[DEPTH] = np.add.reduceat(columns[DEPTH], first) if len(first) else columns[DEPTH]
 
     def nodes(self, lang: str, heavy: list[np.ndarray], least: int) -> Iterator[pa.RecordBatch]:
         """(lang, w1, w2, w3, f): nodes that occur ``least`` times, and the parts of those above extended prefixes."""
         self.settle()
-        rows, words = self.rows, list(self.numbers)
-        length = prefix_lengths(prefix_hashes(lang, words[1:], list(rows[:DEPTH])), heavy)
+        rows, words = self.columns, list(self.numbers)
+        length = prefix_lengths(prefix_hashes(lang, words[1:], rows[:DEPTH]), heavy)
         for depth, new in enumerate(branches(rows), start=1):
             starts = np.flatnonzero(new)
             if not len(starts):
@@ -274,9 +282,9 @@ class Subtree:
                                   names=["lang", *WORDS, "f"])
 
 
-def branches(rows: np.ndarray) -> list[np.ndarray]:
+def branches(rows: list[np.ndarray]) -> list[np.ndarray]:
     """For each depth, where a sorted suffix differs from the one before within its first words."""
-    new = np.zeros(rows.shape[1], bool)
+    new = np.zeros(len(rows[0]), bool)
     new[:1] = True
     out = []
     for depth in range(DEPTH):

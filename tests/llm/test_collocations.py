@@ -73,3 +73,25 @@ def test_scores_are_exact_beyond_64_bits(spark):
     nodes = spark.createDataFrame(rows, "lang string, w1 string, w2 string, w3 string, f long")
     got = co.scored(nodes).collect()
     assert [(r.a, r.l, r.r, r.score) for r in got] == [(big - 3, big + 7, big, 1000000 * (big - 3) ** 2 // ((big + 7) * big))]
+
+
+def test_a_group_holds_its_suffixes_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from radiokpi.llm.collocations import Subtree
+
+    random = np.random.default_rng(0)
+    words = [b"w%d" % k for k in range(1000)]
+    tree = Subtree()
+    tree.numbers.update({w: k + 1 for k, w in enumerate(words)})
+    tracemalloc.start()
+    for _ in range(30):
+        tree.add(words, [random.integers(1, 1001, 50_000).astype(np.int32) for _ in range(3)], np.ones(50_000, np.int64))
+    tree.settle()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20
+    total = sum(b["f"][i].as_py() for b in tree.nodes("x", [], 1) for i in range(b.num_rows) if b["w2"][i].as_py() == "")
+    assert total == 30 * 50_000
