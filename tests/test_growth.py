@@ -60,3 +60,8 @@ def test_a_torn_gzip_archive_keeps_the_records_before_the_tear(tmp_path):
     for _ in ar._read_span((f"{tmp_path}/t.tar.gz", "t"), 1, 0, rows):
         pass
     assert rows.head[-1][-1] and len(rows.head) > 100
+
+
+def test_buckets_follow_the_records():
+    assert iq._buckets(6_000) == 8
+    assert all(records / iq._buckets(records) <= iq.RECORDS_PER_BUCKET for records in (3_600_000, 36_000_000, 216_000_000))
