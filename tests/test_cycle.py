@@ -181,3 +181,17 @@ def test_facts_by_entity_are_not_moved_for_a_join(spark, tmp_path):
         assert raw_with_entity_topology(filtered).count() == 5
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_folders_are_listed_by_tasks_level_by_level(spark, tmp_path):
+    """No file stream or file index: those list and log every name on the driver."""
+    for place in ("a", "a/b", "a/b/c", "d"):
+        (tmp_path / "in" / place).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / place / NAME).write_bytes(b"xy")
+    (tmp_path / "in" / "d" / NAME.replace("1430", "1445")).write_bytes(b"")  # empty: none
+    (tmp_path / "in" / "_temporary").mkdir()
+    (tmp_path / "in" / "_temporary" / NAME).write_bytes(b"x")
+    found = mf.listed(spark, {"PM/sdr/ltefdd": str(tmp_path / "in")})
+    assert "binaryFile" not in found._jdf.queryExecution().toString()
+    assert sorted((r.path, r.remote_size_bytes, r.root_family) for r in found.collect()) == sorted(
+        (f"{tmp_path}/in/{place}/{NAME}", 2, "PM/sdr/ltefdd") for place in ("a", "a/b", "a/b/c", "d"))
