@@ -65,3 +65,53 @@ def test_a_torn_gzip_archive_keeps_the_records_before_the_tear(tmp_path):
 def test_buckets_follow_the_records():
     assert iq._buckets(6_000) == 8
     assert all(records / iq._buckets(records) <= iq.RECORDS_PER_BUCKET for records in (3_600_000, 36_000_000, 216_000_000))
+
+
+def test_small_archives_in_their_plainest_form_are_read_at_once_and_others_as_before(monkeypatch, tmp_path):
+    from radiokpi.plans import archive_tables
+
+    def packed(kind, members, **options):
+        held = io.BytesIO()
+        if kind == "zip":
+            with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as box:
+                for name, text in members.items():
+                    box.writestr(zipfile.ZipInfo(name), text, **options)
+        else:
+            with tarfile.open(fileobj=held, mode="w:gz", **options) as box:
+                for name, text in members.items():
+                    entry = tarfile.TarInfo(name)
+                    entry.size = len(text.encode())
+                    box.addfile(entry, io.BytesIO(text.encode()))
+        return held.getvalue()
+
+    text = "﻿COLLECTTIME,ANI,C1,C2,c1\n20260301000000,a,1,x,\n\n20260301000000,\"b\nc\",1_0,2\nshort\n20260301000000,d,1,2,3,4,5\r\n"
+    members = {"d/a.csv": text, "B.CSV": "COLLECTTIME,C1\n", "n.txt": "x", "e.csv": "", "f.csv": "ANI\nq\n"}
+    plain = [packed("zip", members), packed("zip", members, compress_type=zipfile.ZIP_DEFLATED), packed("tar", members, format=tarfile.USTAR_FORMAT),
+             *(archive_tables._pack(name, ["l,m", "n"]) for name in ("a.zip", "a.tar.gz"))]
+    long = {"long" * 30 + ".csv": text}
+    odd = [plain[0][:-30], plain[0] + b"more", plain[2][:-9], plain[2] + plain[2], packed("tar", long), packed("zip", {"é.csv": text}),
+           plain[0].replace(b"20260301", b"20260302"), b"", b"PK", b"nothing", packed("tar", {"t.csv": text}, format=tarfile.GNU_FORMAT)]
+    for content in [*plain, *odd]:
+        (tmp_path / "c").write_bytes(b"before" + content)
+        path = f"{tmp_path}/c#6+{len(content)}/a"
+        seen = []
+        for quick in (True, False):
+            with monkeypatch.context() as patch:
+                if not quick:
+                    patch.setattr(ar, "_few_members", lambda data: None)
+                rows = ar._Rows()
+                sent = list(ar._read_span((path, "a"), 1, 0, rows)) + ([rows.take()] if len(rows) else [])
+                seen.append(sorted(map(str, [r for batch in sent for r in batch.to_pylist()])))
+        assert seen[0] == seen[1] != []
+    assert all(ar._few_members(content) for content in plain)
+    assert not any(ar._few_members(content) for content in odd[:-1])
+
+
+def test_archives_are_deflated_and_a_copy_is_one_more_name(spark, tmp_path):
+    packed = archives(DerivedTables(spark, DIRECTORY), str(tmp_path), copies="copy_")
+    copy = packed.where("source_file like 'copy%.zip'").first()
+    with ar.opened(copy.path) as file, zipfile.ZipFile(file) as box:
+        assert box.testzip() is None
+        assert [(e.filename, e.compress_type) for e in box.infolist()][1] == ("data/PM_B.CSV", zipfile.ZIP_DEFLATED)
+    original = packed.where(packed.source_file == copy.source_file.removeprefix("copy_")).first()
+    assert original.path.rsplit("/", 1)[0] == copy.path.rsplit("/", 1)[0] and original.file_hash == copy.file_hash
