@@ -115,3 +115,21 @@ def test_archives_are_deflated_and_a_copy_is_one_more_name(spark, tmp_path):
         assert [(e.filename, e.compress_type) for e in box.infolist()][1] == ("data/PM_B.CSV", zipfile.ZIP_DEFLATED)
     original = packed.where(packed.source_file == copy.source_file.removeprefix("copy_")).first()
     assert original.path.rsplit("/", 1)[0] == copy.path.rsplit("/", 1)[0] and original.file_hash == copy.file_hash
+
+
+def test_a_load_moves_records_and_keeps_nothing_staged(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from radiokpi.sources import facts as fa
+
+    packed = archives(DerivedTables(spark, DIRECTORY), f"{tmp_path}/a").where("source_file like '%_0_15_R%' or source_file like '%00_R%'")
+    wanted = ar.parse_pm_rows(ar.expand_archives(packed))
+    wanted = ar.unpivot_counters(ar.good_rows(wanted).drop("dataset_family", "interval_start", "revision"), ar.layouts(wanted))
+    monkeypatch.setattr(fa, "FACTS_PER_FILE", 500)
+    fa.ingest_batch(packed, f"{tmp_path}/out", load_id=0, processed_at=datetime(2026, 3, 5))
+    loaded = fa.read_facts(spark, f"{tmp_path}/out/facts")
+    assert sorted(map(str, loaded.select(wanted.columns).collect())) == sorted(map(str, wanted.collect())) != []
+    assert len(loaded.inputFiles()) > 4 and loaded.where(F.to_date("collect_time") != F.col("collect_date")).isEmpty()
+    assert spark.read.option("recursiveFileLookup", "true").parquet(f"{tmp_path}/out/staging").isEmpty()
